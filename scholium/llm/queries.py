@@ -11,6 +11,25 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary; it is part of the Python environment of driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.byte_bpe import with_byte_bpe
+
+    return with_byte_bpe(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.packing import harmonic_pack
+
+    return harmonic_pack(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholium.llm.quality_rules import compression_bands
 
@@ -18,6 +37,8 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op6_harmonic_packing": op6_harmonic_packing,
     "op7_compression_bands": op7_compression_bands,
 }
 ORACLE_SQL: dict[str, str] = {}
