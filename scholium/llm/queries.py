@@ -18,6 +18,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.shared import new_path
+    from scholium.llm.warc import page_records, write_pages
+
+    path = new_path(spark, "warc")
+    write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return page_records(spark, path)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholium.llm.byte_bpe import with_byte_bpe
 
@@ -37,8 +46,19 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_compression_bands": op7_compression_bands,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, body FROM p),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM q)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM r
+    """,
+}
