@@ -33,6 +33,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_byte_bpe(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.classifier import quality_ranking
+    from scholium.llm.rows import remainder
+
+    return quality_ranking(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder("doc_id", 5) == 0)
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholium.llm.packing import harmonic_pack
 
@@ -45,11 +52,20 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(_docs(spark, sf_dir))
 
 
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.language import language_of
+    from scholium.llm.rows import remainder
+
+    return language_of(_docs(spark, sf_dir), remainder("doc_id", 3) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_bradley_terry": op4_bradley_terry,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_compression_bands": op7_compression_bands,
+    "op8_cross_parsing": op8_cross_parsing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
