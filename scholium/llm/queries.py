@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.jaccard_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(_docs(spark, sf_dir))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholium.llm.shared import new_path
     from scholium.llm.warc import page_records, write_pages
@@ -60,6 +66,7 @@ def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_bradley_terry": op4_bradley_terry,
@@ -67,7 +74,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_compression_bands": op7_compression_bands,
     "op8_cross_parsing": op8_cross_parsing,
 }
+WORDS = r"[^\x20\x09-\x0D]+"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({LOWER}, ''), '{WORDS}') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        c AS (SELECT DISTINCT a AS doc_id, a AS reach FROM l UNION SELECT l.a, c.reach FROM c JOIN l ON l.b = c.doc_id)
+        SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(c.reach))::BIGINT AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, body FROM p),
