@@ -65,6 +65,20 @@ def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(_docs(spark, sf_dir), remainder("doc_id", 3) == 1)
 
 
+def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from scholium.llm.knn import voronoi_top_k
+
+    return voronoi_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
@@ -73,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_compression_bands": op7_compression_bands,
     "op8_cross_parsing": op8_cross_parsing,
+    "op9_voronoi_knn": op9_voronoi_knn,
+    "op10_fm_index": op10_fm_index,
 }
 WORDS = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,4 +114,22 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM r
     """,
+    "op9_voronoi_knn": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT DISTINCT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+              FROM e q JOIN e x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
+    "op10_fm_index": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+        w AS (SELECT doc_id, p, md5(array_to_string(ws[p:p+49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS p FROM d)),
+        r AS (SELECT doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS m FROM w) WHERE m < doc_id),
+        g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM r),
+        a AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN a USING (doc_id)
+    """,
 }
