@@ -1,5 +1,64 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline: every stage works on all that the one before it kept, through a Parquet table in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholium.llm.jaccard_join import ngram_jaccard_join
+from scholium.llm.language import UNKNOWN, learn_fold, with_language
+from scholium.llm.packing import harmonic_pack
+from scholium.llm.quality_rules import compression_bands
+from scholium.llm.queries import vocabulary
+from scholium.llm.shared import materialize
+from scholium.llm.substring_dedup import remove_repeats
+
+#: No SQL expresses the learnt language models, the compression ratios or the tokenizer.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language; those without text or letters go."""
+    found = with_language(docs, learn_fold(docs), keep=tuple(docs.columns))
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return compression_bands(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id; a row without an id is a group of its own."""
+    first = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 or more words that a smaller one has; n_chars follows the text where it changed."""
+    found = remove_repeats(docs, keep=tuple(docs.columns))
+    cut = F.col("n_removed") > 0
+    return found.select(*[F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(cut, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    return harmonic_pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", repeats),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; the rows are those of the last stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs
