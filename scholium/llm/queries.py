@@ -46,6 +46,13 @@ def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder("doc_id", 5) == 0)
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.llm.rows import remainder
+    from scholium.llm.suffix_tree import suffix_tree_scores
+
+    return suffix_tree_scores(_docs(spark, sf_dir), remainder("doc_id", 10) == 0)
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholium.llm.packing import harmonic_pack
 
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_bradley_terry": op4_bradley_terry,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_compression_bands": op7_compression_bands,
     "op8_cross_parsing": op8_cross_parsing,
