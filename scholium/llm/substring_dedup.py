@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,26 +103,39 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _wanted_segments(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray):
+    """Segments of wanted keys, block by block: rows, words, rows' offsets, keys, digests, first words, windows and rows."""
+    for rows, w, wo in _blocks(batches):
+        g, first, n, row = segments(w, wo, k)
+        x = (g >> np.uint64(64 - FILTER)).astype(np.int64)
+        keep = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
+        g, first, n, row = g[keep], first[keep], n[keep], row[keep]
+        digest = X.span(X.prefix(X.mix(w ^ X.CODE[210])), first, first + n + k - 1)
+        yield rows, w, wo, g, digest, first, n, row
+
+
 def _occurrences(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(g, digest, id, th, at, n, words): segments of wanted keys; words where a task meets a segment first."""
+    """(g, digest, id, th, at): segments of wanted keys, and where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, set()
-        for rows, w, wo in _blocks(batches):
-            g, first, n, row = segments(w, wo, k)
-            x = (g >> np.uint64(64 - FILTER)).astype(np.int64)
-            keep = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
-            g, first, n, row = g[keep], first[keep], n[keep], row[keep]
-            digest = X.span(X.prefix(X.mix(w ^ X.CODE[210])), first, first + n + k - 1)
-            fresh = [not (p in seen or seen.add(p)) for p in zip(g.tolist(), digest.tolist(), strict=True)]
-            body = [w[a : a + m + k - 1].tobytes() if f else None for a, m, f in zip(first.tolist(), n.tolist(), fresh, strict=True)]
+        for rows, _, wo, g, digest, first, _, row in _wanted_segments(batches, k, wanted.value):
             pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(g), _signed(digest), rows.column("id").take(pick), rows.column("th").take(pick), pa.array((first - wo[row]).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(body, pa.binary())],
-                names=["g", "digest", "id", "th", "at", "n", "words"],
-            )
+            yield pa.RecordBatch.from_arrays([_signed(g), _signed(digest), rows.column("id").take(pick), rows.column("th").take(pick), pa.array((first - wo[row]).astype(np.int64))], names=["g", "digest", "id", "th", "at"])
+
+    return docs.mapInArrow(run, "g long, digest long, id long, th long, at long")
+
+
+def _bodies(docs: DataFrame, k: int, wanted) -> DataFrame:
+    """(g, digest, words): the words of each segment of a wanted key, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for _, w, _, g, digest, first, n, _ in _wanted_segments(batches, k, wanted.value):
+            fresh = np.array([not (p in seen or seen.add(p)) for p in zip(g.tolist(), digest.tolist(), strict=True)], bool)
+            body = [w[a : a + m + k - 1].tobytes() for a, m in zip(first[fresh].tolist(), n[fresh].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([_signed(g[fresh]), _signed(digest[fresh]), pa.array(body, pa.binary())], names=["g", "digest", "words"])
 
-    return docs.mapInArrow(run, "g long, digest long, id long, th long, at long, n long, words binary")
+    return docs.mapInArrow(run, "g long, digest long, words binary")
 
 
 class FMIndex:
@@ -228,9 +242,12 @@ def least_documents(parts: list[np.ndarray], doc: np.ndarray, k: int, limit: int
 def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         """(g, digest, s, e, m): runs of windows of a segment that start in document m first, where m is not the last of the segment's documents."""
-        table = table.combine_chunks()
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
-        lo, hi, g, digest = (table.column(c).to_numpy() for c in ("lo", "hi", "g", "digest"))
+        bodies, ends = table.filter(pc.is_valid(table.column("words"))), table.filter(pc.is_valid(table.column("lo")))
+        lo, hi, g, digest = (ends.column(c).to_numpy() for c in ("lo", "hi", "g", "digest"))
+        place = {x: i for i, x in enumerate(zip(g.tolist(), digest.tolist(), strict=True))}
+        parts: list = [None] * len(place)  # several tasks may send the same segment
+        for x, y, body in zip(bodies.column("g").to_pylist(), bodies.column("digest").to_pylist(), bodies.column("words"), strict=True):
+            parts[place[x, y]] = np.frombuffer(body.as_buffer(), np.uint64)
         out = []
         for i, m in enumerate(least_documents(parts, lo, k)):
             first = np.flatnonzero(np.diff(m, prepend=m[0] - 1))
@@ -251,9 +268,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     wanted = spark.sparkContext.broadcast(_filter(_keys(known, k)))
     occ = materialize(_occurrences(known, k, wanted), "occurrences")
     ends = occ.groupBy("g", "digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    distinct = occ.where("words is not null").select("g", "digest", "words").dropDuplicates(["g", "digest"])
     buckets = max(8, min(20_000, 2 * partitions_of(known)))
-    shards = distinct.join(ends, ["g", "digest"]).withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(buckets)))
+    # words go straight to their shard, beside the least and greatest document of each segment
+    both = _bodies(known, k, wanted).unionByName(ends, allowMissingColumns=True)
+    shards = both.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(buckets)))
     runs = materialize(shards.groupBy("shard").applyInArrow(_search(k), "g long, digest long, s long, e long, m long"), "runs")
     met = occ.select("g", "digest", "id", "th", "at").join(runs, ["g", "digest"]).where("id > m")
     return met.select("id", "th", (F.col("at") + F.col("s")).alias("start"), (F.col("at") + F.col("e") + (k - 1)).alias("end"))
