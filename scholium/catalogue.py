@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from scholium.functions import scalars as S
 from scholium.operators import contamination as C
+from scholium.operators import records as R
 from scholium.operators import scoring as P
 from scholium.operators import selection as X
 from scholium.operators import statistics as T
+from scholium.operators import texts as D
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -294,3 +296,97 @@ def chat_validation(spark, sf_dir):
 def cost_per_role(spark, sf_dir):
     n = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("calls"), F.sum(F.expr("length(text) div 4")).alias("tokens"))
     return n.withColumn("usd", F.round(F.col("tokens") * F.when(F.col("role") == "assistant", 15.0).otherwise(3.0) / 1000000, 6))
+
+
+QUERY = ["data", "people", "time"]
+_IDF = "(ln((n + 1) / (df + 1)) + 1)"
+
+
+@query(f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, unnest(range(len(ps))) AS para, ps FROM s),
+    w AS (SELECT doc_id, para, regexp_extract_all(lower(trim(ps[para + 1])), '{D.TERM}') AS w FROM p WHERE length(trim(ps[para + 1])) >= 60),
+    r AS (SELECT *, len(w) AS len FROM w WHERE len(w) > 0), k AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1),
+    t AS (SELECT doc_id, para, len, term, count(*) AS c FROM (SELECT doc_id, para, len, unnest(w) AS term FROM r) GROUP BY ALL),
+    d AS (SELECT doc_id, term, count(*) AS df FROM t GROUP BY ALL),
+    x AS (SELECT doc_id, para, term, c / len * {_IDF} AS x, {_IDF} AS i FROM t JOIN d USING (doc_id, term) JOIN k USING (doc_id)),
+    z AS (SELECT doc_id, sum(((ln((n + 1) / (coalesce(df, 0) + 1)) + 1) / 3) ** 2) AS qq FROM (SELECT * FROM k, (VALUES ('data'), ('people'), ('time')) AS v(term)) LEFT JOIN d USING (doc_id, term) GROUP BY 1),
+    o AS (SELECT doc_id, para, sum(CASE WHEN term IN ('data', 'people', 'time') THEN x * i / 3 ELSE 0 END) AS dot, sum(x * x) AS pp FROM x GROUP BY ALL),
+    f AS (SELECT doc_id, para::INT AS para, round(dot / sqrt(pp * qq), 6) AS score FROM o JOIN z USING (doc_id) WHERE dot > 0)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, para)::INT AS place FROM f) WHERE place <= 5""")
+def tfidf_search(spark, sf_dir):
+    paras = D.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text", "\n")
+    return D.search(paras, "doc_id", QUERY)
+
+
+KEYWORDS = {"license": ["license", "copyright"], "collection": ["collected", "data"], "privacy": ["email", "personal", "phone"]}
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, (" + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in ws) + ")::BIGINT AS hits FROM documents" for f, ws in KEYWORDS.items()) + ") WHERE hits > 0")
+def keyword_index(spark, sf_dir):
+    return D.keyword_index(table(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS)
+
+
+@query("""WITH t AS (SELECT source, length(text) // 4 AS n FROM documents WHERE text IS NOT NULL)
+    SELECT source, CASE WHEN n < 8000 THEN 'short' WHEN n < 20000 THEN 'medium' ELSE 'long' END AS size, count(*) AS docs, sum(n)::BIGINT AS tokens FROM t GROUP BY ALL""")
+def length_classes(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("source", D.token_estimate(F.col("text")).alias("n"))
+    return rows.groupBy("source", D.length_class(F.col("n")).alias("size")).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 600) || chr(10) || '[...]' || chr(10) || right(text, 200) END) AS cut_md5 FROM documents")
+def smart_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(D.head_and_tail(F.col("text"), 1000)).alias("cut_md5"))
+
+
+@query(VOTES + """, u AS (SELECT * FROM c WHERE m = 3), v AS (SELECT v, sum(c)::DOUBLE AS nv, sum(c * c)::DOUBLE AS sq FROM u GROUP BY v),
+    t AS (SELECT sum(nv) AS a, sum(sq) AS s, sum(nv * nv) AS p FROM v)
+    SELECT (a / 3)::BIGINT AS units, round(((s - a) / (2 * a) - p / (a * a)) / (1 - p / (a * a)), 6) AS kappa FROM t""")
+def fleiss_kappa(spark, sf_dir):
+    return T.fleiss(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", 3)
+
+
+@query("""WITH d AS (SELECT p_size - 25 AS d, abs(p_size - 25) AS s FROM part WHERE p_size <> 25),
+    r AS (SELECT d, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM d),
+    t AS (SELECT sum(c ** 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM d GROUP BY s)),
+    w AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM r)
+    SELECT n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) AS z FROM w, t""")
+def wilcoxon_signed_rank(spark, sf_dir):
+    return T.wilcoxon(table(spark, sf_dir, "part").select("p_size", F.lit(25).alias("mid")), "p_size", "mid")
+
+
+@query("SELECT min(l_quantity) AS low, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.95), 6) AS p95, max(l_quantity) AS high FROM lineitem")
+def distribution_stats(spark, sf_dir):
+    return T.distribution(table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@query("SELECT quality, toxic, count(*) AS n, abs(quality - toxic) AS off_by FROM labels GROUP BY 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return T.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("""WITH r AS (SELECT lang, doc_id, greatest(1, round_even(count(*) OVER (PARTITION BY lang) * 0.1::DOUBLE, 0)) AS h, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5('domain' || doc_id::VARCHAR), doc_id) AS i FROM documents)
+    SELECT lang, doc_id, CASE WHEN n < 3 OR i > 2 * h THEN 'train' WHEN i <= h THEN 'test' ELSE 'validation' END AS part FROM r""")
+def domain_split(spark, sf_dir):
+    return X.domain_split(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
+
+
+def _records(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    poor = F.col("c_acctbal") < 0
+    ours = F.create_map(F.lit("name"), "c_name", F.lit("segment"), F.when(~poor, F.col("c_mktsegment")))
+    host = F.create_map(F.lit("segment"), F.when(F.col("c_custkey") % 2 == 0, F.lit("HOST")), F.lit("nation"), F.col("c_nationkey").cast("string"))
+    return c.select("c_custkey", ours.alias("ours"), host.alias("host"))
+
+
+_SEG = "CASE WHEN c_custkey % 2 = 0 THEN 'HOST' WHEN c_acctbal >= 0 THEN c_mktsegment END"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'segment,' ELSE '' END || 'nation' AS missing, CASE WHEN c_custkey % 2 = 1 AND c_acctbal >= 0 THEN 'name,segment' ELSE 'name' END AS added,
+    CASE WHEN c_custkey % 2 = 0 AND c_acctbal >= 0 THEN 'segment' ELSE '' END AS kept,
+    '{{"name":"' || c_name || '"' || coalesce(',"segment":"' || {_SEG} || '"', '') || ',"nation":"' || c_nationkey || '"}}' AS doc FROM customer""")
+def record_merge(spark, sf_dir):
+    ours, host = F.col("ours"), F.col("host")
+    ordered = R.merged(ours, host)
+    doc = F.create_map(*[x for f in ("name", "segment", "nation") for x in (F.lit(f), F.element_at(ordered, f))])
+    missing = F.array_join(R.missing(ours, ["name", "segment", "nation"]), ",")
+    return _records(spark, sf_dir).select("c_custkey", missing.alias("missing"), F.array_join(R.added(ours, host), ",").alias("added"), F.array_join(R.kept(ours, host), ",").alias("kept"), R.document(doc).alias("doc"))

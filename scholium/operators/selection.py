@@ -45,3 +45,13 @@ def dense_years(rows: DataFrame, when: Column) -> DataFrame:
     counts = rows.select(F.year(when).alias("year")).where("year is not null").groupBy("year").agg(F.count("*").alias("c"))
     span = counts.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("year"))
     return span.join(counts, "year", "left").select("year", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
+
+
+def domain_split(rows: DataFrame, domain: str, key: str, salt: str = "domain") -> DataFrame:
+    """80/10/10 within each domain, at least one for test and validation; domains under three rows train only."""
+    w = Window.partitionBy(domain)
+    place = F.row_number().over(w.orderBy(hashed(key, salt), key))
+    held = F.greatest(F.lit(1.0), F.bround(F.col("n") * 0.1, 0))
+    r = rows.withColumn("n", F.count("*").over(w)).withColumn("i", place)
+    part = F.when((F.col("n") < 3) | (F.col("i") > 2 * held), "train").when(F.col("i") <= held, "test").otherwise("validation")
+    return r.withColumn("part", part).drop("n", "i")

@@ -65,3 +65,35 @@ def crosstab(rows: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:
     """A row a value of ``a``: counts and row percentages of ``b``."""
     cells: list[Column] = [F.count_if(F.col(b) == v).alias(f"n_{v}") for v in values]
     return rows.groupBy(a).agg(F.count("*").alias("n"), *cells).select(a, "n", *[c for v in values for c in (F.col(f"n_{v}"), F.round(100 * F.col(f"n_{v}") / F.col("n"), 6).alias(f"pct_{v}"))])
+
+
+def fleiss(votes: DataFrame, unit: str, value: str, raters: int) -> DataFrame:
+    """Fleiss' kappa over the units that have exactly ``raters`` votes."""
+    c = vote_counts(votes, unit, value)
+    c = c.join(c.groupBy(unit).agg(F.sum("c").alias("m")).where(F.col("m") == raters), unit)
+    by = c.groupBy(value).agg(F.sum("c").alias("nv"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+    t = by.agg(F.sum("nv").alias("all"), F.sum("sq").alias("sq"), F.sum(F.col("nv").cast("double") * F.col("nv")).alias("chance"))
+    seen, chance = (F.col("sq") - F.col("all")) / (F.col("all") * (raters - 1)), F.col("chance") / (F.col("all") * F.col("all"))
+    return t.select((F.col("all") / raters).cast("long").alias("units"), F.round(F.when(chance == 1, 1.0).otherwise((seen - chance) / (1 - chance)), 6).alias("kappa"))
+
+
+def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Signed ranks of a - b without zeros: n, both rank sums and z by the normal form with tie correction."""
+    d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
+    by = d.groupBy("size").agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    upto = F.sum("t").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = by.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
+    s = r.agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("w_minus"), F.sum(F.pow(F.col("t").cast("double"), 3.0) - F.col("t")).alias("ties"))
+    n = F.col("n").cast("double")
+    z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return s.select("n", "w_plus", "w_minus", F.round(z, 6).alias("z"))
+
+
+def distribution(rows: DataFrame, value: str) -> DataFrame:
+    """Least, mean, exact median and 95th percentile (linear), greatest."""
+    return rows.agg(F.min(value).alias("low"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"), F.max(value).alias("high"))
+
+
+def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts of all pairs of ratings with their distance."""
+    return rows.groupBy(a, b).agg(F.count("*").alias("n")).withColumn("off_by", F.abs(F.col(a) - F.col(b)))

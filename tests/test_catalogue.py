@@ -65,3 +65,25 @@ def test_bootstrap_holds_the_composite(spark):
     rows = [("s", p, f, float((p * f) % 3 == 0)) for p in range(30) for f in range(5)]
     r = scoring.bootstrap(spark.createDataFrame(rows, "system string, paper long, field int, score double")).first()
     assert r["low"] <= r["composite"] <= r["high"] and r["high"] - r["low"] < 0.4
+
+
+def test_record_columns(spark):
+    from scholium.operators import records as R
+
+    r = spark.sql("select map('a', '1', 'b', ' ', 'x', null) as ours, map('a', '2', 'c', '3') as host")
+    a, b = F.col("ours"), F.col("host")
+    got = r.select(R.missing(a, ["a", "b", "c"]), R.extra(a, ["a", "b"]), R.merged(a, b), R.added(a, b), R.kept(a, b), R.document(a)).first()
+    assert list(got) == [["b", "c"], ["x"], {"a": "2", "c": "3"}, [], ["a"], '{"a":"1"}']
+
+
+def test_files_round_trip(spark, tmp_path):
+    from scholium.sources import files
+
+    rows = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "i int, v string")
+    files.write_json_lines(rows, f"{tmp_path}/j")
+    files.write_csv(rows, f"{tmp_path}/c")
+    for got in (files.read_json_lines(spark, f"{tmp_path}/j", rows.schema), files.read_csv(spark, f"{tmp_path}/c", rows.schema)):
+        assert sorted(map(tuple, got.collect())) == [(1, 'a "b", c'), (2, None)]
+    assert files.markdown(rows.orderBy("i")) == '| i | v |\n| --- | --- |\n| 1 | a "b", c |\n| 2 |  |\n'
+    with pytest.raises(ValueError):
+        files.markdown(rows, 1)
