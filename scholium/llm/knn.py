@@ -9,6 +9,9 @@
    rows by a hash, so a cell that holds most rows is many tasks; data rows move once, the queries are replicated.
 4. Each chunk multiplies its queries, in blocks, with its rows and keeps k of each; the k best of all chunks remain.
 
+Rows that repeat an id and a vector become one before anything is bounded or ranked. An id may have several vectors:
+each counts under its own score, and equal scores of one id count once, in a chunk before its k are taken.
+
 Scores are sums of integers below 2**53 and exact in floating point.
 """
 
@@ -56,24 +59,25 @@ def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id long, v array<double>, is_query boolean, cell int, far double")
 
 
-def wanted(q: np.ndarray, pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
-    """Which cells each query needs. One more than k bounds count, as a query's own row may be one of them."""
+def wanted(q: np.ndarray, pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far: np.ndarray, k: int, spread: int = 1) -> np.ndarray:
+    """Which cells each query needs. The rows of one id lie in at most ``spread`` cells: so many bounds may be of a query's own id, or of one result."""
     norm = np.sqrt((q**2).sum(1))[:, None]
     dot = q @ pivots.T
     slack = SLACK * (1 + np.abs(dot) + norm * far)
     low = np.where(count > 0, dot - norm * near - slack, -np.inf)
-    kth = np.sort(low, axis=1)[:, -(k + 1)] if low.shape[1] > k else np.full(len(q), -np.inf)
+    place = (k + 1) * spread
+    kth = np.sort(low, axis=1)[:, -place] if low.shape[1] >= place else np.full(len(q), -np.inf)
     return (dot + norm * far + slack >= kth[:, None]) & (count > 0)
 
 
-def _route(queries: DataFrame, pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far: np.ndarray, chunks: np.ndarray, k: int) -> DataFrame:
+def _route(queries: DataFrame, pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far: np.ndarray, chunks: np.ndarray, k: int, spread: int) -> DataFrame:
     """(id, v, chunk): a query once for each chunk that it needs."""
     first = np.cumsum(chunks) - chunks
     dim = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, cell = np.nonzero(wanted(matrix(b.column("v"), dim), pivots, count, near, far, k))
+            row, cell = np.nonzero(wanted(matrix(b.column("v"), dim), pivots, count, near, far, k, spread))
             n = chunks[cell]
             row = np.repeat(row, n)
             chunk = np.repeat(first[cell], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -84,6 +88,22 @@ def _route(queries: DataFrame, pivots: np.ndarray, count: np.ndarray, near: np.n
     return queries.select("id", "v").mapInArrow(run, "id long, v array<double>, chunk long")
 
 
+def once(score: np.ndarray, ids: np.ndarray) -> None:
+    """Of the columns with one id (``ids`` is sorted) and one score in a row, all but the first become -inf."""
+    same = ids[1:] == ids[:-1]
+    cols = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    if len(cols):
+        part = score[:, cols]
+        own = np.broadcast_to(ids[cols], part.shape)
+        order = np.lexsort((part, own), axis=-1)
+        by = np.take_along_axis(part, order, 1)
+        again = np.zeros(part.shape, bool)
+        again[:, 1:] = (by[:, 1:] == by[:, :-1]) & (np.take_along_axis(own, order, 1)[:, 1:] == np.take_along_axis(own, order, 1)[:, :-1])
+        by[again] = -np.inf
+        np.put_along_axis(part, order, by, 1)
+        score[:, cols] = part
+
+
 def _solve(k: int):
     def run(queries: pa.Table, data: pa.Table) -> pa.Table:
         none = np.empty(0, np.int64)
@@ -101,6 +121,7 @@ def _solve(k: int):
                 own = q_id[lo : lo + step]
                 score = q[lo : lo + step] @ x
                 score[own[:, None] == x_id] = -np.inf
+                once(score, x_id)
                 # all rows that reach the k-th best score, then ties by id
                 least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(own), -np.inf)
                 row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
@@ -133,7 +154,9 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str
     if len({len(r["v"]) for r in sample}) > 1:
         raise ValueError("vectors of different lengths")
     places = np.unique(np.array([r["v"] for r in sample], float), axis=0)
-    held = materialize(_cells(rows, places), "cells")
+    each = rows.groupBy("id", "v").agg(F.max("is_query").alias("is_query"))
+    held = materialize(_cells(each, places), "cells")
+    spread = held.select("id", "cell").distinct().groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     n = len(places)
     count, near, far = np.zeros(n), np.zeros(n), np.zeros(n)
     for r in held.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect():
@@ -144,7 +167,7 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str
     split = F.array(*[F.lit(int(x)) for x in np.maximum(chunks, 1)])[F.col("cell")]
     start = F.array(*[F.lit(int(x)) for x in first])[F.col("cell")]
     data = held.select("id", "v", (start + F.pmod(F.xxhash64("id"), split)).cast("long").alias("chunk")).repartition(total, "chunk")
-    asked = _route(held.where("is_query"), places, count, near, far, chunks, k).repartition(total, "chunk")
+    asked = _route(held.where("is_query"), places, count, near, far, chunks, k, spread).repartition(total, "chunk")
     local = asked.groupBy("chunk").cogroup(data.groupBy("chunk")).applyInArrow(_solve(k), out).distinct()
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

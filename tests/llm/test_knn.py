@@ -34,6 +34,29 @@ def test_against_brute_force(spark):
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
 
 
+def ranked_by_id(rows, m, k):
+    """As the SQL has it: one ranking for each query id, over all of its vectors."""
+    v = {(i, tuple(math.floor(256 * x) for x in v)) for i, v, _ in rows}
+    pairs = {}
+    for i, q in v:
+        if i % m == 0:
+            pairs.setdefault(i, set()).update((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in v if j != i)
+    return {(i, r + 1, j, -s) for i, p in pairs.items() for r, (s, j) in enumerate(sorted(p)[:k])}
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    rows = [(0, [1.0, 0.0], None), *[(7, [9.0, 0.0], None)] * 6, *[(i, [float(8 - i), 0.0], None) for i in range(1, 6)]]
+    got = {tuple(r) for r in voronoi_top_k(table(spark, rows), F.col("vec_id") == 0).collect()}
+    assert got == brute(rows, 10, 5) and [v for _, _, v, _ in sorted(got)] == [7, 1, 2, 3, 4]
+    # one id under many vectors: of equal scores, of the query's own id, and over many cells
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 3)], None) for i in list(range(60)) + [7] * 40 + [10] * 40 + [20] * 15]
+    rows += [(7, [3.0, float(y), 0.0], None) for y in range(12)] + [(0, [1.0, 0.0, 0.0], None)] * 9
+    for chunk in (20, 10_000):
+        out = [tuple(r) for r in voronoi_top_k(table(spark, rows), F.col("vec_id") % 10 == 0, chunk=chunk).collect()]
+        assert sorted(out) == sorted(ranked_by_id(rows, 10, 5))
+
+
 def test_few_rows_and_empty_table(spark):
     rows = [(0, [1.0, 2.0], None), (1, [3.0, 1.0], None), (2, [3.0, 1.0], None)]
     assert {tuple(r) for r in voronoi_top_k(table(spark, rows), F.col("vec_id") % 10 == 0).collect()} == brute(rows, 10, 5)
