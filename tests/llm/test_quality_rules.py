@@ -45,6 +45,34 @@ def test_bands_reject_repeats_and_noise_but_not_prose(spark):
     assert bands_failed(half, press)[1]
 
 
+def test_noise_fails_and_prose_passes_at_every_length():
+    import base64
+    import random
+
+    import pyarrow.parquet as pq
+
+    press = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(11)
+    long = [t.encode() for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t and len(t) > 3000]
+
+    def tokens(n):
+        out = b""
+        while len(out) < n:
+            out += base64.b64encode(rng.randbytes(12))[: rng.randrange(4, 16)] + b" "
+        return out[:n]
+
+    for low, high in ((128, 160), (160, 192), (192, 224), (224, 256), (256, 320), (320, 384), (384, 448), (448, 512), (512, 640), (640, 768), (768, 1024), (1024, 4096), (4096, 9000)):
+        for _ in range(60):
+            n = rng.randrange(low, high)
+            assert bands_failed(tokens(n), press)[1], n
+            assert bands_failed(base64.encodebytes(rng.randbytes(n))[:n], press)[1], n
+            text = rng.choice(long)
+            at = rng.randrange(max(1, len(text) - n))
+            ratio, failed = bands_failed(text[at : at + n], press)
+            # some documents repeat a line: those may fail by the upper limit
+            assert len(text[at : at + n]) < low or not failed or ratio > 2.5, (n, ratio)
+
+
 def test_clashing_names_and_empty_table(spark):
     docs = cases.table(spark).withColumn("kept", F.lit("x")).withColumn("a b", F.lit(1))
     out = compression_bands(docs, keep=tuple(docs.columns))
