@@ -6,15 +6,13 @@
    ties by hash. Any order that all documents share gives exact results; the counts only make it a good one.
 3. Two sets of Jaccard >= t share an n-gram within their first |x| - ceil(t |x|) + 1: only these prefixes are
    sent out, by n-gram, as (n-gram, class, size, position); an n-gram that the sketch saw once is not sent.
-4. The classes that meet at an n-gram are filtered by length and by position (the overlap cannot exceed the
-   shorter head plus the shorter tail). To keep hot n-grams linear, round one proposes to every class one
-   partner only: of the leaders (least position) of its n-grams, the one it meets most often. Round two proposes
-   all pairs that passed the filters and are not connected yet, so no link that joins two components is lost.
-5. A proposed pair is verified once: both sets are fetched, a suffix filter (counts between fixed pivots of the
-   order bound the Hamming distance from below) rejects most others, the exact overlap decides.
-6. Components of the links, by stars; a document's is the smallest doc_id that it reaches.
-
-Links inside a component that is already connected are not all listed: the result is the component.
+4. All pairs of classes that meet at an n-gram are filtered by length and by position (the overlap cannot exceed
+   the shorter head plus the shorter tail); each pair that passes is proposed, once.
+5. A proposed pair is verified once. Classes are dealt over blocks by their digest and pairs over pairs of blocks, so a
+   set is fetched once for each pair of blocks that needs it, not for each pair of classes. A suffix filter (counts
+   between fixed pivots of the order bound the Hamming distance from below) rejects most others, the exact overlap decides.
+6. The verified pairs are the links, all of them: two documents link if they are in one class or in linked classes.
+   Components of the links, by stars; a document's is the smallest doc_id that it reaches.
 """
 
 from __future__ import annotations
@@ -191,57 +189,32 @@ def _slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _meet(percent: int):
+def _cross(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Entries whose n-gram at least two classes have, with the leader of each if the filters let the pair pass."""
+        """All pairs of classes that share an n-gram and pass the filters, once a bucket."""
         e = np.frombuffer(b"".join(x.as_py() for x in table.column("entries")), ENTRY)
-        e = e[np.lexsort((e["d"], e["p"], e["h"]))]
+        e = e[np.lexsort((e["d"], e["h"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["d"][1:] != e["d"][:-1])
         e = e[new]  # several tasks may send the same class
-        first = np.flatnonzero(np.diff(e["h"], prepend=e["h"][:1] + np.uint64(1)) != 0) if len(e) else np.empty(0, np.int64)
-        size = np.diff(np.append(first, len(e)))
-        lead = np.repeat(first, size)
-        many = np.repeat(size, size) > 1
-        e, a = e[many], e[lead[many]]
-        n, p, m, q = (x.astype(np.int64) for x in (e["n"], e["p"], a["n"], a["p"]))
-        ok = (e["d"] != a["d"]) & possible(n, p, m, q, percent)
-        leader = np.where(ok, a["d"], np.uint64(0)).astype(np.uint64)
-        return pa.table({"h": _signed(np.ascontiguousarray(e["h"])), "d": _signed(np.ascontiguousarray(e["d"])), "n": pa.array(n, pa.int32()), "p": pa.array(p, pa.int32()), "a": pa.array(leader.view(np.int64), mask=~ok)})
-
-    return run
-
-
-def _cross(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Pairs that share an n-gram, pass the filters and have different labels."""
-        h, d, n, p, label = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "d", "n", "p", "label"))
-        order = np.lexsort((label, h))
-        h, d, n, p, label = h[order], d[order], n[order], p[order], label[order]
-        first = np.flatnonzero(np.diff(h, prepend=h[:1] - 1)) if len(h) else np.empty(0, np.int64)
-        out: list[np.ndarray] = []
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
-            if label[a] == label[b - 1]:
-                continue
-            own = label[a:b]
-            starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
-            sizes = np.diff(np.append(starts, b - a))
-            big = int(starts[sizes.argmax()])
-            rest = np.concatenate([np.arange(big), np.arange(big + sizes.max(), b - a)])
-            step = max(1, 2_000_000 // (b - a))
-            for lo in range(0, len(rest), step):
-                x, y = np.divmod(np.arange(len(rest[lo : lo + step]) * (b - a)), b - a)
-                x = rest[lo : lo + step][x]
-                # a pair of two that are both outside the largest label is met twice: the first counts
-                ok = (own[x] != own[y]) & ~((own[y] != own[big]) & (y < x))
-                x, y = x[ok] + a, y[ok] + a
-                ok = possible(n[x], p[x], n[y], p[y], percent)
-                x, y = d[x[ok]], d[y[ok]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-            if sum(map(len, out)) > 1 << 20:
-                out = [np.unique(np.concatenate(out), axis=0)]
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        names, own = np.unique(e["d"], return_inverse=True)
+        n, p = e["n"].astype(np.int64), e["p"].astype(np.int64)
+        end = np.searchsorted(e["h"], e["h"], "right")
+        at = np.flatnonzero(end - np.arange(len(e)) > 1)
+        found, waiting, held = np.empty(0, np.int64), [], 0
+        step = 0
+        while len(at):
+            step += 1
+            to = at + step
+            ok = possible(n[at], p[at], n[to], p[to], percent)
+            waiting.append(own[at[ok]] * len(names) + own[to[ok]])
+            held += len(waiting[-1])
+            if held > max(1 << 21, len(found)):
+                found, waiting, held = np.unique(np.concatenate([found, *waiting])), [], 0
+            at = at[to + 1 < end[at]]
+        found = np.unique(np.concatenate([found, *waiting]))
+        x, y = np.divmod(found, max(1, len(names)))
+        return pa.table({"a": _signed(names[x]), "b": _signed(names[y])})
 
     return run
 
@@ -286,25 +259,69 @@ def overlap_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((y[at] == x).sum()) >= need
 
 
+LINK = ("d1", "d2", "rep", "size")
+
+
 def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            a, b = rows.column("grams_a"), rows.column("grams_b")
-            ok = [overlap_enough(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        """The pairs of one pair of blocks that link, with what is known of both classes."""
+        place: dict[int, list[int]] = {}
+        for i, d in enumerate(sets.column("d1").to_pylist()):
+            place.setdefault(d, []).append(i)
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("grams")]
+        left, right = [], []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            for i in place.get(a, ()):
+                for j in place.get(b, ()):
+                    if overlap_enough(grams[i], grams[j], percent):
+                        left.append(i)
+                        right.append(j)
+        return pa.table({f"{c}_{side}": sets.column(c).take(pa.array(at, pa.int64())) for side, at in (("a", left), ("b", right)) for c in LINK})
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified pairs (a, b), as the representatives of the two classes."""
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
+    """Verified pairs of classes: digests, representative and number of documents of both."""
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(_wanted(pairs))
-    sets = _sets(docs, k, wanted).dropDuplicates(["d1", "d2"]).join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
-    sets = materialize(sets.select("d1", "rep", "grams"), "sets")
-    left = pairs.join(sets.select(F.col("d1").alias("a"), F.col("rep").alias("rep_a"), F.col("grams").alias("grams_a")), "a")
-    both = left.join(sets.select(F.col("d1").alias("b"), F.col("rep").alias("rep_b"), F.col("grams").alias("grams_b")), "b")
-    return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "grams_a", "grams_b").mapInArrow(_verify(percent), "a long, b long")
+    sets = _sets(docs, k, wanted).dropDuplicates(["d1", "d2"]).join(classes, ["d1", "d2"])
+    x, y = F.pmod("a", F.lit(blocks)), F.pmod("b", F.lit(blocks))
+    dealt = pairs.withColumn("at", F.least(x, y) * blocks + F.greatest(x, y))
+    needs = dealt.select(F.col("at").alias("to"), F.explode(F.array("a", "b")).alias("d1")).distinct()
+    sent = needs.join(sets, "d1").select("to", *LINK, "grams")
+    return dealt.groupBy("at").cogroup(sent.groupBy("to")).applyInArrow(_verify(percent), ", ".join(f"{c}_{side} long" for side in "ab" for c in LINK))
+
+
+def _join(known: DataFrame, k: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, n, d1, d2), classes (d1, d2, rep, size) and all links between different classes."""
+    spark = known.sparkSession
+    parts = partitions_of(known)
+    buckets = max(8, min(20_000, 2 * parts))
+    both = materialize(_signatures(known, k, bits), "signatures")
+    rows = both.where("part is null").select("id", "n", "d1", "d2")
+    sketch = spark.sparkContext.broadcast(_sketch(both, bits))
+    classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
+    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_cross(percent), "a long, b long")
+    pairs = materialize(met.distinct(), "pairs")
+    return rows, classes, materialize(_links(known, pairs, classes, k, percent, max(16, int(4 * parts**0.5))), "links")
+
+
+def ngram_jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """All links of :func:`ngram_jaccard_join`, written through classes of documents with equal sets of n-grams.
+
+    The first table has a row per document with an id: doc_id, n_shingles, class_1, class_2 (which together name its class;
+    null without words) and n_links, the number of other documents that it links to. The second has a row for each two
+    classes that link: a_1, a_2, b_1, b_2. Two documents link if they share a class or their classes are in a row.
+    """
+    known = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias(TEXT)).where("id is not null")
+    rows, classes, links = _join(known, k, percent, bits)
+    ends = links.select("d1_a", "d2_a", "size_b").union(links.select("d1_b", "d2_b", "size_a")).toDF("d1", "d2", "other")
+    more = ends.groupBy("d1", "d2").agg(F.sum("other").alias("other"))
+    counted = classes.join(more, ["d1", "d2"], "left").select("d1", "d2", (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+    has = F.col("n") > 0
+    members = rows.join(counted, ["d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(has, F.col("d1")).alias("class_1"), F.when(has, F.col("d2")).alias("class_2"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return members, links.select("d1_a", "d2_a", "d1_b", "d2_b").toDF("a_1", "a_2", "b_1", "b_2")
 
 
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = BITS) -> DataFrame:
@@ -314,32 +331,11 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     runs of bytes other than ASCII white space, A-Z in lower case); a text of fewer words is one n-gram. Documents
     without words have n_shingles 0 and link to nothing, not even to each other. A row without an id links to
     nothing and has no component. Rows that repeat are in one component; an empty table gives an empty one; other
-    columns are not read.
+    columns are not read. The links themselves are :func:`ngram_jaccard_links`.
     """
-    spark = docs.sparkSession
     chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias(TEXT))
-    known = chosen.where("id is not null")
-    buckets = max(8, min(20_000, 2 * partitions_of(known)))
-    both = materialize(_signatures(known, k, bits), "signatures")
-    rows = both.where("part is null").select("id", "n", "d1", "d2")
-    sketch = spark.sparkContext.broadcast(_sketch(both, bits))
-    classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
-
-    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent), "h long, d long, n int, p int, a long")
-    met = materialize(met, "met")
-    # round one: of its leaders, the one that a class meets most often
-    counted = met.where("a is not null").groupBy("d", "a").agg(F.count("*").alias("c"))
-    first = counted.groupBy("d").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    first = materialize(first.select(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")).distinct(), "first")
-    links = materialize(_links(known, first, classes, k, percent), "links1")
-    roots = components(links)
-    # round two: what meets and is not connected yet
-    labels = classes.join(roots, classes.rep == roots.node).select(F.col("d1").alias("d"), "root").groupBy("d").agg(F.min("root").alias("root"))
-    labelled = met.drop("a").join(labels, "d", "left").select("h", "d", "n", "p", F.coalesce("root", F.col("d").bitwiseXOR(F.lit(-(2**63)))).alias("label"), F.pmod("h", F.lit(buckets)).alias("bucket"))
-    second = labelled.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_cross(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "second")
-    more = materialize(_links(known, second, classes, k, percent), "links2")
-    found = components(links.unionByName(more))
+    rows, classes, links = _join(chosen.where("id is not null"), k, percent, bits)
+    found = components(links, "rep_a", "rep_b")
     whole = classes.join(found, classes.rep == found.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     out = rows.join(whole, ["d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     without = _signatures(chosen.where("id is null"), k, 16).where("part is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.jaccard_join import ngram_jaccard_join, overlap_enough
+from scholium.llm.jaccard_join import ngram_jaccard_join, ngram_jaccard_links, overlap_enough
 from tests.llm import cases
 
 
@@ -55,6 +55,27 @@ def test_components_of_near_copies(spark):
     assert {tuple(r) for r in got.collect()} == brute(rows) and got.count() == len(rows)
 
 
+def test_all_links_within_a_group_are_listed(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    members, links = ngram_jaccard_links(df, bits=16)
+    members = members.collect()
+    joined = {((r.a_1, r.a_2), (r.b_1, r.b_2)) for r in links.collect()}
+    cls = {r.doc_id: (r.class_1, r.class_2) for r in members}
+    sets = {i: shingles(t) for i, t in rows}
+    n = dict.fromkeys(sets, 0)
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i != j:
+                link = bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+                n[i] += link
+                assert link == (bool(a) and (cls[i] == cls[j] or (cls[i], cls[j]) in joined or (cls[j], cls[i]) in joined)), (i, j)
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in members} == {i: (len(a), n[i]) for i, a in sets.items()}
+    assert sum(n.values()) > 4 * len(rows) and links.count() == len(joined)
+    members, links = ngram_jaccard_links(spark.createDataFrame([], "doc_id long, text string"), bits=16)
+    assert members.count() == links.count() == 0
+
+
 def test_rows_without_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (3, "A b c d e f")], "doc_id long, text string")
     assert sorted(map(str, ngram_jaccard_join(df, bits=16).collect())) == sorted(["Row(doc_id=None, n_shingles=2, component_id=None)", *["Row(doc_id=5, n_shingles=2, component_id=3)"] * 2, "Row(doc_id=3, n_shingles=2, component_id=3)"])
