@@ -50,7 +50,7 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholium.llm.rows import remainder
     from scholium.llm.suffix_tree import suffix_tree_scores
 
-    return suffix_tree_scores(_docs(spark, sf_dir), remainder("doc_id", 10) == 0)
+    return suffix_tree_scores(_docs(spark, sf_dir), remainder("doc_id", 10) == 0, depth=None)
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ The root predicts a word by its smoothed share of the training tokens. A node of
 is kept if it was seen ``LEAST`` times, its suffix was kept (the tree grows from the root), and it passes a divergence
 test: sum over its next words of c ln(P'(w | context) / P(w | suffix)), with every occurrence left out of its own estimate,
 must exceed ``GAIN``. Next-word distributions are smoothed towards the suffix's: (c + ALPHA P(w | suffix)) / (N + ALPHA).
-A token is scored in the state of the longest kept suffix of the words before it.
+A token is scored in the state of the longest kept suffix of the words before it. Levels are built one behind another
+until no context of a level is kept (or to a ``depth`` that the caller gives).
 
 All counts are Spark tables over all training rows and grow with the corpus. Counts are summed for each block before the
 shuffle; a level's grams are gathered only behind contexts that can be kept (filters of fixed size; a full one lets
@@ -17,6 +18,8 @@ Words stand as 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,12 +61,19 @@ def context(a: np.ndarray) -> np.ndarray:
     return X.mix(a ^ X.CODE[222])
 
 
-def grams(w: np.ndarray, to: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For depths 1 and 2: places of the tokens with that many words before them, key of the context, key of the gram."""
+def grams(w: np.ndarray, to: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For depths 1 to ``depth``: places of the tokens with that many words before them, key of the context, key of the gram.
+
+    A gram's key is that of its first word and of what follows it, from the left; a context's is that of its words.
+    """
     place = np.arange(len(w)) - np.repeat(to[:-1], np.diff(to))
-    one, two = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-    before = pair(w[two - 2], w[two - 1])
-    return [(one, w[one - 1], pair(w[one - 1], w[one])), (two, before, pair(before, w[two]))]
+    ends = w  # at each place the key of the words that end there: one, then two and so on
+    for d in range(1, depth + 1):
+        at = np.flatnonzero(place >= d)
+        longer = np.zeros_like(w)
+        longer[at] = pair(ends[at - 1], w[at])
+        yield at, ends[at - 1], longer[at]
+        ends = longer
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -98,6 +108,15 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def _shared(docs: DataFrame, keys: DataFrame):
+    """The filter of the keys, for the executors. Few keys leave it nearly empty, so it goes out compressed."""
+    return docs.sparkSession.sparkContext.broadcast(zlib.compress(_filter(keys).tobytes(), 1))
+
+
+def _opened(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.uint8)
+
+
 def _words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
@@ -109,25 +128,50 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def _level(docs: DataFrame, depth: int, wanted) -> DataFrame:
-    """(ctx, w, gram, up, c) of grams whose context is in the filter; ``up`` is the gram one word shorter."""
+    """(ctx, w, gram, up, c) of grams whose context is in the filter; ``up`` is the gram one word shorter, ``last`` the context one word shorter (of depth 1: the context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits = _opened(wanted.value)
         for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
             w, to = tokens(data, offs)
-            place, ctx, gram = grams(w, to)[depth - 1]
+            place, ctx, gram = deque(grams(w, to, depth), 1)[0]
             on = _in(bits, X.mix(ctx))
             place, ctx, gram = place[on], ctx[on], gram[on]
             at, n = _counted(gram)
             place, ctx, gram = place[at], ctx[at], gram[at]
-            up = w[place] if depth == 1 else pair(w[place - 1], w[place])
-            last = w[place - 1]
+            last = _last(w, place, depth)
+            up = w[place] if depth == 1 else pair(last, w[place])
             yield pa.RecordBatch.from_arrays([_signed(ctx), _signed(last), _signed(w[place]), _signed(gram), _signed(up), pa.array(n)], names=["ctx", "last", "w", "gram", "up", "c"])
 
     found = docs.mapInArrow(run, "ctx long, last long, w long, gram long, up long, c long")
     return found.groupBy("ctx", "last", "w", "gram", "up").agg(F.sum("c").alias("c"))
 
 
+def _last(w: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """Key of the context at each place, less its first word; of depth 1 the context itself."""
+    last = w[place - (depth - 1 or 1)]
+    for i in range(depth - 2, 0, -1):
+        last = pair(last, w[place - i])
+    return last
+
+
+def _contexts(docs: DataFrame, depth: int, suffixes) -> DataFrame:
+    """(ctx, last, c) of contexts of that many words whose suffix is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _opened(suffixes.value)
+        for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
+            w, to = tokens(data, offs)
+            place, ctx, _ = deque(grams(w, to, depth), 1)[0]
+            last = _last(w, place, depth)
+            on = _in(bits, X.mix(last))
+            ctx, last = ctx[on], last[on]
+            at, n = _counted(ctx)
+            yield pa.RecordBatch.from_arrays([_signed(ctx[at]), _signed(last[at]), pa.array(n)], names=["ctx", "last", "c"])
+
+    return docs.mapInArrow(run, "ctx long, last long, c long").groupBy("ctx", "last").agg(F.sum("c").alias("c"))
+
+
 def mixed(key: str) -> Column:
     """The place of a key in a filter, as :func:`text.mix` gives it; an Arrow pass over long numbers."""
 
@@ -171,39 +215,55 @@ def _context_key(name: str) -> Column:
     return run(F.col(name))
 
 
-def learn(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN) -> tuple[DataFrame, int, int]:
-    """Table of weights (key, uses, known, base, score), training tokens and distinct ones. ``docs`` has the text as ``TEXT``."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, depth: int | None = 2) -> tuple[DataFrame, int, int, int]:
+    """Table of weights (key, uses, known, base, score), training tokens, distinct ones and the depth of the tree. ``docs`` has the text as ``TEXT``."""
     words = materialize(_words(docs), "words")
     r = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(r["n"]), int(r["v"])
     root = words.withColumn("p", (F.col("c") + FIRST) / F.lit(n + FIRST * (v + 1)))
     end = int(np.array([END]).view(np.int64)[0])
     often = words.where((F.col("c") >= least) & (F.col("w") != end)).select(mixed("w").alias("x"))
-    one = materialize(_level(docs, 1, spark.sparkContext.broadcast(_filter(often))), "grams1")
-    kept1 = materialize(_kept(one, root.select(F.col("w").alias("up"), F.col("p").alias("up_p")), alpha, least, gain), "kept1")
-    # contexts of two words: seen often, and their last word is a kept context
-    nodes = kept1.select(F.col("ctx").alias("w")).distinct()
-    pairs = one.where((F.col("c") >= least) & (F.col("w") != end)).join(nodes, "w", "left_semi").select(mixed("gram").alias("x"))
-    two = _level(docs, 2, spark.sparkContext.broadcast(_filter(pairs)))
-    two = two.join(nodes.withColumnRenamed("w", "last"), "last", "left_semi")
-    kept2 = materialize(_kept(two, kept1.select(F.col("gram").alias("up"), F.col("p").alias("up_p")), alpha, least, gain), "kept2")
     level0 = root.select(F.col("w").alias("key"), F.col("c").alias("uses"), F.lit(1).cast("long").alias("known"), F.log10("p").alias("base"), F.log10("p").alias("score"))
-    table = level0.unionByName(_weights(kept1, alpha)).unionByName(_weights(kept2, alpha))
-    return materialize(table, "weights"), n, v
-
-
-def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, hot: int = HOT) -> DataFrame:
+    table, lower, built = level0, root.select(F.col("w").alias("up"), F.col("p").alias("up_p")), 0
+    wanted, suffixes = often, None
+    while depth is None or built < depth:
+        shared = _shared(docs, wanted)
+        if suffixes:
+            suffixes.destroy()
+            suffixes = None
+        level = _level(docs, built + 1, shared)
+        level = level.join(nodes, "last", "left_semi") if built else materialize(level, "grams1")
+        kept = materialize(_kept(level, lower, alpha, least, gain), f"kept{built + 1}")
+        shared.destroy()
+        if kept.isEmpty():
+            break
+        built += 1
+        table = table.unionByName(_weights(kept, alpha))
+        lower = kept.select(F.col("gram").alias("up"), F.col("p").alias("up_p"))
+        nodes = kept.select(F.col("ctx").alias("last")).distinct()
+        # contexts of one word more: seen often, and a kept context without their first word; of two words the grams
+        # of the first level tell, of more they need not be there (their first words may be no kept context)
+        if built == 1:
+            pairs = level.where((F.col("c") >= least) & (F.col("w") != end)).drop("last").withColumnRenamed("w", "last")
+            wanted = pairs.join(nodes, "last", "left_semi").select(mixed("gram").alias("x"))
+        elif depth is None or built < depth:
+            suffixes = _shared(docs, nodes.select(mixed("last").alias("x")))
+            wanted = _contexts(docs, built + 1, suffixes).where(F.col("c") >= least).join(nodes, "last", "left_semi").select(mixed("ctx").alias("x"))
+    return materialize(table, "weights"), n, v, built
+
+
+def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, hot: int = HOT, depth: int | None = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), a row per document.
 
     Learnt from the rows that are not ``held_out`` (null counts as false). A null or empty text is its end alone. Rows
     that repeat are scored and counted each; a row without an id is trained on and scored. If there is nothing to learn
-    from, all tokens are unknown with probability 1. An empty table gives an empty one; other columns are not read.
+    from, all tokens are unknown with probability 1. An empty table gives an empty one; other columns are not read. Contexts have at most
+    ``depth`` words; with None, as many as pass the test.
     """
     spark = docs.sparkSession
     fold = F.coalesce(held_out, F.lit(False))
     chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fold.alias("held_out"), F.col(f"`{text}`").cast("string").alias(TEXT))
-    table, n, v = learn(chosen.where(~F.col("held_out")), alpha, least, gain)
+    table, n, v, depth = learn(chosen.where(~F.col("held_out")), alpha, least, gain, depth)
     unknown = float(np.log10(FIRST / (n + FIRST * (v + 1))))
     top = table.orderBy(F.desc("uses"), "key").limit(hot).toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((_filter(table.select(mixed("key").alias("x"))), *[top[c].to_numpy() for c in ("key", "known", "base", "score")]))
@@ -219,7 +279,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
             m = rows.num_rows
             row = X.row_of(to)
             key, of, word = [w], [row], [np.ones(len(w), bool)]
-            for place, ctx, gram in grams(w, to):
+            for place, ctx, gram in grams(w, to, depth):
                 key += [context(ctx), gram]
                 of += [row[place]] * 2
                 word += [np.zeros(len(place), bool)] * 2

@@ -72,6 +72,49 @@ def test_against_brute_force(spark):
         same(sorted((str(r[0]), *r[1:]) for r in got.collect()), want)
 
 
+def deep(rows):
+    """Scores of the whole tree, and how deep it is."""
+    texts = [t.split() + [None] for _, t in rows]
+    after = defaultdict(Counter)
+    for w, (i, _) in zip(texts, rows, strict=True):
+        for p in range(len(w)) if zlib.crc32(str(i).encode()) % 10 else ():
+            for d in range(min(p, 12) + 1):
+                after[tuple(w[p - d : p])][w[p]] += 1
+    root = after[()]
+    n, v = sum(root.values()), len(root)
+    total = {c: sum(x.values()) for c, x in after.items()}
+
+    def p(ctx, w, less=0):
+        return (after[ctx][w] - less + ALPHA * p(ctx[1:], w)) / (total[ctx] - less + ALPHA) if ctx else (root[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    kept = {()}
+    for ctx in sorted(list(after), key=len):
+        if ctx and ctx[1:] in kept and total[ctx] >= LEAST and sum(k * math.log(p(ctx, w, 1) / p(ctx[1:], w)) for w, k in after[ctx].items()) > GAIN:
+            kept.add(ctx)
+    out = {}
+    for w, (i, _) in zip(texts, rows, strict=True):
+        longest = [max((c for d in range(min(at, 12) + 1) if (c := tuple(w[at - d : at])) in kept), key=len) for at in range(len(w))]
+        out[i] = sum(math.log10(p(c, x)) for c, x in zip(longest, w, strict=True))
+    return out, max(map(len, kept)), kept
+
+
+def test_contexts_are_as_long_as_the_test_of_divergence_lets_them(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(250):
+        # every fifth word follows from the four before it; some passages come again
+        w = []
+        for at in range(rng.randrange(5, 60)):
+            w.append("xy"[zlib.crc32(" ".join(w[-4:]).encode()) % 2] if at % 5 == 4 else rng.choice("abc"))
+        rows.append((i, " ".join(w + (["in", "the", "end", "the", "same", "the", "end"] if i % 3 else []))))
+    want, depth, kept = deep(rows)
+    assert 4 <= depth < 12 and any(len(c) > 2 and c[1:-1] not in kept for c in kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (1 << 17, 0):
+        got = {r.doc_id: r.score for r in suffix_tree_scores(df, remainder("doc_id", 10) == 0, hot=hot, depth=None).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_nothing_to_learn_from_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in suffix_tree_scores(df, F.lit(True)).collect()) == [(1, True, 3, 0, 0, 0.0, 0.0), (2, True, 1, 0, 0, 0.0, 0.0)]
