@@ -6,7 +6,8 @@ takes, a character, the closer the languages. Phrase counts are normalised by th
 text's length, so a language with less text is not at a disadvantage; the least wins.
 
 All documents of a block walk all automata in lockstep: texts are cut into segments of ``SEGMENT`` characters,
-each parsed from the root, and every step is one gather in a dense transition table over the frequent characters.
+each parsed from the root, and every step is one gather in a dense transition table over the frequent characters; transitions by all other
+characters of the training texts are few and stand as sorted keys.
 The models come from a bounded sample (``CHARS`` characters a language, at most ``EACH`` of one document, by the
 order of a hash of the id); every document is parsed as a whole.
 """
@@ -45,7 +46,7 @@ def normalised(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Automaton:
-    """Suffix automaton over symbols 0..size-1, as a dense table of transitions; -1 where there is none."""
+    """Suffix automaton, as a dense table of transitions by symbols below ``size`` (-1 where there is none); ``others`` has (state, symbol, next) of the rest."""
 
     def __init__(self, symbols: list[int], size: int):
         nexts: list[dict[int, int]] = [{}]
@@ -74,42 +75,63 @@ class Automaton:
                     link[q] = link[cur] = clone
             last = cur
         self.table = np.full((len(nexts), size), -1, np.int32)
+        others = []
         for s, x in enumerate(nexts):
-            if x:
-                self.table[s, list(x)] = list(x.values())
+            for c, to in x.items():
+                if c < size:
+                    self.table[s, c] = to
+                else:
+                    others.append((s, c, to))
+        self.others = np.array(others, np.int64).reshape(-1, 3)
 
 
 class Model:
-    """Automata of all languages behind one another in one table; symbol 0 is any character outside the alphabet."""
+    """Automata of all languages behind one another in one table; symbol 0 is any character that no training text has."""
 
     def __init__(self, texts: dict[str, str], size: int = ALPHABET):
         from collections import Counter
 
         self.languages = sorted(texts)
-        # the most frequent characters over the languages, each with the same weight
+        # all characters of the languages, the most frequent first (each language with the same weight): those are dense
         weight: Counter = Counter()
         for t in texts.values():
             for c, n in Counter(t).items():
                 weight[c] += n / max(1, len(t))
-        self.alphabet = "".join(sorted(sorted(weight, key=lambda c: (-weight[c], c))[: size - 1]))
-        self.lut = np.zeros(0x110000, np.uint8)
+        self.alphabet = "".join(sorted(weight, key=lambda c: (-weight[c], c)))
+        self.lut = np.zeros(0x110000, np.int32)
         for i, c in enumerate(self.alphabet):
             self.lut[ord(c)] = i + 1
-        self.size = len(self.alphabet) + 1
+        self.symbols = len(self.alphabet) + 1
+        self.size = min(size, self.symbols)
+        others = []
         tables, roots, at = [], [], 0
         for name in self.languages:
-            # characters outside the alphabet cut the text: no substring has them
             symbols = self.lut[[ord(c) for c in texts[name]]].tolist() if texts[name] else []
-            table = Automaton(symbols, self.size).table
-            table[:, 0] = -1
+            built = Automaton(symbols, self.size)
+            table = built.table
+            others.append(np.stack([(built.others[:, 0] + at) * self.symbols + built.others[:, 1], built.others[:, 2] + at]))
             tables.append(np.where(table >= 0, table + at, -1))
             roots.append(at)
             at += len(table)
         self.dead = at  # behind a character that no substring has, the next begins a phrase
         self.table = np.concatenate([*tables, np.full((1, self.size), -1, np.int32)]).ravel().astype(np.int32)
+        keys, to = np.concatenate([np.empty((2, 0), np.int64), *others], axis=1)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[order].astype(np.int32)
         self.roots = np.array(roots, np.int32)
         self.norm = np.log([max(2, len(texts[n])) for n in self.languages])
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states of rows of states by the symbol of each row; -1 where there is none."""
+        rare = np.flatnonzero(c >= self.size)
+        if not len(rare):
+            return self.table[state * self.size + c[:, None]]
+        to = self.table[state * self.size + np.where(c < self.size, c, 0)[:, None]]
+        want = np.broadcast_to(state, to.shape)[rare].astype(np.int64) * self.symbols + c[rare, None]
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        to[rare] = np.where(self.keys[at] == want, self.to[at], -1)
+        return to
+
     def phrases(self, symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Phrases of every row in each language, parsed by segments."""
         rows, langs = len(offs) - 1, len(self.languages)
@@ -123,18 +145,18 @@ class Model:
         state = np.tile(self.roots, (len(row), 1))
         count = (np.zeros((len(row), langs), np.int32))
         alive = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # segments longer than i
-        home = self.roots * self.size
+        home = self.roots[None, :]
         for i in range(SEGMENT):
             m = int(alive[i])
             if not m:
                 break
             c = symbols[start[:m] + i].astype(np.int32)
-            to = self.table[state[:m] * self.size + c[:, None]]
+            to = self.step(state[:m], c)
             miss = to < 0
             # a phrase ends before this character, and the next begins with it
             if i:
                 count[:m] += miss
-            again = self.table[home + c[:, None]]
+            again = self.step(home, c)
             again = np.where(again < 0, np.int32(self.dead), again)
             state[:m] = np.where(miss, again, to)
         count += 1

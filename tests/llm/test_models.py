@@ -85,6 +85,25 @@ def test_automata_parse_like_substring_search():
             assert n[k] == sum(brute_phrases(train[name], t[i : i + language.SEGMENT]) for i in range(0, len(t), language.SEGMENT))
 
 
+def test_scripts_of_many_characters(spark):
+    rng = random.Random(12)
+    zh, ja = [[chr(a + i) for i in range(0, 900, 3)] for a in (0x4E00, 0x4E01)]
+    train = {"ja": "".join(rng.choice(ja) for _ in range(3000)), "zh": "".join(rng.choice(zh) for _ in range(3000)), "en": "".join(rng.choice("abcdefgh ") for _ in range(900))}
+    m = language.Model(train)
+    texts = ["".join(rng.choice(zh + ja + list("abcxyz ")) for _ in range(rng.randrange(0, 600))) for _ in range(12)]
+    texts += [train["zh"][i : i + 300] + train["ja"][i : i + 40] for i in range(0, 900, 300)]
+    got = m.phrases(m.lut[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)], np.cumsum([0, *map(len, texts)]))
+    for t, n in zip(texts, got, strict=True):
+        for k, name in enumerate(m.languages):
+            assert n[k] == sum(brute_phrases(train[name], t[i : i + language.SEGMENT]) for i in range(0, len(t), language.SEGMENT))
+    words = [["".join(rng.choice(x) for _ in range(2)) for _ in range(200)] for x in (zh, ja)]
+    rows = [(i, "".join(rng.choice(words[i % 2]) for _ in range(20 if i % 3 else 45)), ("zh", "ja")[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.language_of(docs, remainder("doc_id", 3) == 1).collect()
+    held = [r.lang_pred == rows[r.doc_id][2] for r in got if r.held_out]
+    assert len(held) > 60 and np.mean(held) > 0.98
+
+
 def made_up(rng, letters, n):
     parts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(40)]
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
