@@ -187,18 +187,22 @@ def _passage(text: Column, size: int) -> Column:
 
 def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", chars: int = CHARS, each: int = EACH) -> Model:
     """Models from the labelled rows of ``docs``: for each language the documents that come first by a hash of their id, until ``chars`` characters are full."""
-    want = 4 * max(1, chars // each)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("__l"), F.col(f"`{doc_id}`").alias("__id"), _passage(F.col(f"`{text}`"), each).alias("__t")).where(F.length(F.trim("__t")) > 0)
-    counts = {r["__l"]: r["n"] for r in rows.groupBy("__l").agg(F.count("*").alias("n")).collect()}
+    # what is sure to be no letter goes as one blank, so lengths are about those of the normalised passages
+    rows = rows.withColumn("__s", F.regexp_replace("__t", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    counts = {r["__l"]: (r["n"], r["s"]) for r in rows.groupBy("__l").agg(F.count("*").alias("n"), F.sum(F.length("__s")).alias("s")).collect()}
     hashed = F.pmod(F.xxhash64("__id", "__t"), F.lit(1 << 30))
     picked = F.lit(False)
-    for name, n in counts.items():
-        # about `want` rows a language, whatever its share of the corpus
+    total = 0
+    for name, (n, size) in counts.items():
+        # rows of about four times the characters that are wanted, whatever the language's share and passages
+        want = -(-4 * chars * n // max(1, size))
+        total += min(n, want)
         picked = picked | ((F.col("__l") == name) & (hashed < min(1 << 30, int((1 << 30) * want / n) + 1)))
-    found = rows.where(picked).select("__l", hashed.alias("__h"), "__t").orderBy("__h", "__t").limit(8 * want * max(1, len(counts))).collect()
+    found = rows.where(picked).select("__l", hashed.alias("__h"), "__t", "__s").orderBy("__h", "__t").limit(8 * max(1, total)).collect()
     texts: dict[str, list[str]] = {}
     for r in found:
-        texts.setdefault(r["__l"], []).append(r["__t"])
+        texts.setdefault(r["__l"], []).append(r["__s"])
     out = {}
     for name, parts in texts.items():
         data = "\n".join(parts).encode()

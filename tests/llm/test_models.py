@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -129,6 +130,13 @@ def test_held_out_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and state
 
 
+def test_short_documents_fill_the_training_text(spark):
+    rng = random.Random(8)
+    rows = [(i, made_up(rng, "abcdefgh", 40)[:60].strip() if i % 2 else "12 3!? -- " * 30 + rng.choice("abcd") * 40, "aa" if i % 2 else "bb") for i in range(900)]
+    m = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=4000)
+    assert m.languages == ["aa", "bb"] and [round(math.exp(x)) for x in m.norm] == [4000, 4000]
+
+
 def test_language_edge_cases(spark):
     got = language.language_of(cases.table(spark), remainder("doc_id", 3) == 1)
     assert got.count() == len(cases.rows()) and got.where("lang_pred is null or score is null").count() == 0
