@@ -15,6 +15,7 @@ from scholium.llm.substring_dedup import remove_repeats
 
 #: No SQL expresses the learnt language models, the compression ratios or the tokenizer.
 ORACLE_SQL = None
+KEY = "__document"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +30,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id; a row without an id is a group of its own."""
-    first = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of every group of near copies the document with the smallest id; a row without an id is a group of its own.
+
+    A document is an id with a text: rows that repeat an id with another text are told apart by a hash of both.
+    """
+    keyed = docs.where("doc_id is not null").withColumn(KEY, F.xxhash64("doc_id", "text"))
+    groups = ngram_jaccard_join(keyed, doc_id=KEY).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    first = keyed.select("doc_id", KEY).join(groups, KEY).groupBy("component_id").agg(F.min(F.struct("doc_id", KEY)).alias("first"))
+    known = keyed.join(first.select("first.*"), ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", "text"])
     return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

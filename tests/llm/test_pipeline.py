@@ -39,3 +39,10 @@ def test_stages_take_effect_and_run_is_their_sequence(spark, tmp_path):
     packed = steps["packing"](spark, spark.createDataFrame(cut, docs.schema), "").groupBy("doc_id").sum("length").collect()
     whole = P.run(spark, str(tmp_path)).groupBy("doc_id").sum("length").collect()
     assert sorted(packed) == sorted(whole) and len(whole) == len(cut)
+
+
+def test_an_id_with_two_texts_is_two_documents(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (3, b + " more"), (9, a + " more"), (7, c), (None, a), (8, ""), (8, " ")]
+    got = P.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a), (3, b + " more"), (7, c), (None, a), (8, ""), (8, " ")]))
