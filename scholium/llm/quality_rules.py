@@ -26,7 +26,7 @@ SHARE = 0.25
 #: prose (1.08, 1.32, 1.43, 1.57). Under 128 bytes zstd stores most of either as it is (0.88 to 0.98 both): no least ratio.
 #: From 1 KB on prose stays near 1.7 to 3, base64 under 1.35, repeated lines beyond 5.
 BANDS = (
-    *((0, 0.0, 4.0), (128, 1.04, 2.75), (160, 1.07, 2.75), (192, 1.1, 2.75), (224, 1.125, 2.75)),
+    *((0, 0.0, 4.0), (128, 1.04, 2.75), (160, 1.055, 2.75), (176, 1.065, 2.75), (192, 1.1, 2.75), (224, 1.125, 2.75)),
     *((256, 1.14, 3.0), (320, 1.17, 3.0), (384, 1.2, 3.0), (448, 1.22, 3.0)),
     *((512, 1.25, 3.25), (640, 1.275, 3.25), (768, 1.32, 3.25)),
     *((1024, 1.36, 3.5), (4096, 1.4, 4.0), (16384, 1.45, 4.5), (65536, 1.45, 5.5)),
