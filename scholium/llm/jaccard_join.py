@@ -5,14 +5,17 @@
 2. A sketch of fixed size (``2**bits`` counters, summed over all documents) gives an order of n-grams: rare first,
    ties by hash. Any order that all documents share gives exact results; the counts only make it a good one.
 3. Two sets of Jaccard >= t share an n-gram within their first |x| - ceil(t |x|) + 1: only these prefixes are
-   sent out, by n-gram, as (n-gram, class, size, position); an n-gram that the sketch saw once is not sent.
-4. All pairs of classes that meet at an n-gram are filtered by length and by position (the overlap cannot exceed
-   the shorter head plus the shorter tail); each pair that passes is proposed, once.
-5. A proposed pair is verified once. Classes are dealt over blocks by their digest and pairs over pairs of blocks, so a
-   set is fetched once for each pair of blocks that needs it, not for each pair of classes. A suffix filter (counts
-   between fixed pivots of the order bound the Hamming distance from below) rejects most others, the exact overlap decides.
-6. The verified pairs are the links, all of them: two documents link if they are in one class or in linked classes.
-   Components of the links, by stars; a document's is the smallest doc_id that it reaches.
+   sent out, by n-gram, as (n-gram, class, size, position).
+4. Classes that meet at an n-gram and pass the filters by length and position are not written out as pairs: each is
+   put down beside a leader, the class of least digest that hangs together with it there. Any two that could link have a
+   leader in common, so a leader's classes are a cluster, in which all pairs are looked at.
+5. The sets go to their clusters. A large cluster is dealt into blocks and a task takes a pair of blocks, so neither a
+   cluster nor its pairs are gathered anywhere. A task puts each pair through the filters (length, common n-grams of the
+   prefixes and the positional bound that follows, suffix filter by counts between fixed pivots) and the rest to the
+   exact test, once: a pair with several leaders in common is counted at the least of them.
+6. What leaves a task is, for each class, the number of documents that it links to there and the least representative
+   that it reaches there: no more rows than came in. Sums of the first are all links of a document; the second make
+   edges whose components, by stars, are those of all links.
 """
 
 from __future__ import annotations
@@ -27,12 +30,18 @@ from pyspark.sql import functions as F
 from scholium.llm import text as X
 from scholium.llm.components import components
 from scholium.llm.rows import TEXT
-from scholium.llm.shared import materialize, partitions_of
+from scholium.llm.shared import materialize, partitions_of, release
 
 BITS = 22
 PART = 1 << 16
 #: Bits of the filter that says which classes are wanted; when it is too full it lets through more, never less.
 WANTED = 24
+#: Classes of an n-gram whose pairs are all put to the filters before they get a leader.
+FEW = 16
+#: Classes of a block at least, and the sum of set sizes that a block is to have at most.
+BLOCK_CLASSES = 256
+BLOCK_GRAMS = 500_000
+TILE = 256
 ENTRY = np.dtype([("h", "<u8"), ("d", "<u8"), ("n", "<u4"), ("p", "<u4")])
 
 
@@ -92,23 +101,33 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _alone(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """The first row of each class of a block, in the order of the rows."""
+    order = np.lexsort((d2, d1))
+    x, y = d1[order], d2[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return np.sort(order[new])
+
+
 def _signatures(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Rows of kind 0 (id, n, d1, d2 for each document) and of kind 1 (part, counts of the sketch)."""
+    """Rows (id, n, d1, d2) for each document and, with ``bits``, rows (part, counts) of the sketch: classes, once a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        seen: set[int] = set()
+        counts = np.zeros(1 << bits if bits else 0, np.uint32)
         none = lambda n, t: pa.nulls(n, t)
         names = ["id", "n", "d1", "d2", "part", "counts"]
         for rows, data, offs in X.blocks(batches, TEXT):
             h, so = shingle_sets(X.LOWER[data], offs, k)
             d1, d2 = digests(h, so)
-            fresh = np.array([not (d in seen or seen.add(d)) for d in d1.tolist()], bool)
-            at = slot(h[np.repeat(fresh, np.diff(so))], bits)
-            counts += np.bincount(at, minlength=1 << bits).astype(np.uint32)
+            if bits:
+                fresh = np.zeros(len(d1), bool)
+                fresh[_alone(d1, d2)] = True
+                at, n = np.unique(slot(h[np.repeat(fresh, np.diff(so))], bits), return_counts=True)
+                counts[at] += n.astype(np.uint32)
             m = rows.num_rows
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(so)), _signed(d1), _signed(d2), none(m, pa.int32()), none(m, pa.binary())], names=names)
-        parts = [(i, counts[i << 16 : (i + 1) << 16]) for i in range((1 << bits) >> 16)]
+        parts = [(i, counts[i * PART : (i + 1) * PART]) for i in range(-(-len(counts) // PART))]
         parts = [(i, x) for i, x in parts if x.any()]
         if parts:
             m = len(parts)
@@ -140,7 +159,16 @@ def _sketch(signatures: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-ONCE = 1  # what the sketch holds for a counter of one
+def _rare_first(h: np.ndarray, so: np.ndarray, rare: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of every row, rare first, and what the sketch says of each."""
+    q = rare[slot(h, bits)]
+    order = np.lexsort((h, q, X.row_of(so)))
+    return h[order], q[order]
+
+
+def prefix_length(n, percent: int):
+    """N-grams of which two sets that link have one in common."""
+    return n - -(-percent * n // 100) + (n > 0)
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, bits: int, sketch, buckets: int) -> DataFrame:
@@ -148,35 +176,30 @@ def _prefixes(docs: DataFrame, k: int, percent: int, bits: int, sketch, buckets:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = sketch.value
-        seen: set[int] = set()
-        for rows, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
+        for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
             parts = []
             for lo, hi in _slices(offs, X.BLOCK):
                 d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 h, so = shingle_sets(X.LOWER[d], o, k)
-                d1, _ = digests(h, so)
-                fresh = np.array([not (x in seen or seen.add(x)) for x in d1.tolist()], bool)
-                n = np.diff(so)
-                row = np.repeat(np.arange(len(n)), n)
-                q = rare[slot(h, bits)]
-                order = np.lexsort((h, q, row))
-                place = np.arange(len(h)) - np.repeat(so[:-1], n)
-                length = n - -(-percent * n // 100) + 1
-                keep = (place < np.repeat(length, n)) & np.repeat(fresh, n)
-                pick = order[keep]
-                one = q[pick] > ONCE
-                pick, r, p = pick[one], row[keep][one], place[keep][one]
+                d1, d2 = digests(h, so)
+                h, _ = _rare_first(h, so, rare, bits)
+                rows = _alone(d1, d2)
+                n = np.diff(so)[rows]
+                length = prefix_length(n, percent)
+                pick = X.ragged(so[rows], length)
                 entry = np.empty(len(pick), ENTRY)
-                entry["h"], entry["d"], entry["n"], entry["p"] = h[pick], d1[r], n[r], p
+                entry["h"], entry["d"], entry["n"] = h[pick], np.repeat(d1[rows], length), np.repeat(n, length)
+                entry["p"] = pick - np.repeat(so[rows], length)
                 parts.append(entry)
             every = np.concatenate(parts)
-            bucket = (every["h"] % np.uint64(buckets)).astype(np.int64)
+            bucket = (every["h"] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             every, bucket = every[order], bucket[order]
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = [*first[1:].tolist(), len(every)]
             if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([every[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], names=["bucket", "entries"])
+                ends = np.append(first, len(every)) * ENTRY.itemsize
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(every)])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), blobs.cast(pa.binary())], names=["bucket", "entries"])
 
     return docs.mapInArrow(run, "bucket int, entries binary")
 
@@ -189,122 +212,278 @@ def _slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _cross(percent: int):
+def meetings(e: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For entries sorted by n-gram and class, each once: which of them meet another, and the entry that leads each.
+
+    Two classes that share an n-gram and pass the filters have the same leader. Up to ``most`` classes of an n-gram, all
+    pairs are put to the filters and what hangs together has one leader; of more, they are ordered by size and cut
+    where the next is too long for the one before it, so that none on one side can link to one on the other.
+    """
+    m = len(e)
+    start = np.flatnonzero(np.diff(e["h"], prepend=~e["h"][:1]) != 0) if m else np.empty(0, np.int64)
+    count = np.diff(np.append(start, m))
+    end = np.repeat(start + count, count)
+    few = np.repeat(count <= most, count)
+    n, p = e["n"].astype(np.int64), e["p"].astype(np.int64)
+    lead, has = np.arange(m), np.zeros(m, bool)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = np.flatnonzero(few)
+    for step in range(1, most):
+        at = at[at + step < end[at]]
+        to = at + step
+        ok = possible(n[at], p[at], n[to], p[to], percent)
+        left.append(at[ok])
+        right.append(to[ok])
+    x, y = np.concatenate(left), np.concatenate(right)
+    has[x] = has[y] = True
+    while len(x):
+        least = np.minimum(lead[x], lead[y])
+        if (lead[x] == least).all() and (lead[y] == least).all():
+            break
+        np.minimum.at(lead, x, least)
+        np.minimum.at(lead, y, least)
+    at = np.flatnonzero(~few)
+    if len(at):
+        group = np.repeat(start, count)[at]
+        at = at[np.lexsort((n[at], group))]
+        group = np.repeat(start, count)[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (group[1:] != group[:-1]) | (100 * n[at][:-1] < percent * n[at][1:])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        lead[at] = np.repeat(np.minimum.reduceat(at, first), size)
+        has[at] = np.repeat(size > 1, size)
+    return has, lead
+
+
+def _meet(percent: int, most: int):
     def run(table: pa.Table) -> pa.Table:
-        """All pairs of classes that share an n-gram and pass the filters, once a bucket."""
+        """(hub, d, n): every class of the bucket beside the leader of those that it meets at some n-gram."""
         e = np.frombuffer(b"".join(x.as_py() for x in table.column("entries")), ENTRY)
         e = e[np.lexsort((e["d"], e["h"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["d"][1:] != e["d"][:-1])
-        e = e[new]  # several tasks may send the same class
-        names, own = np.unique(e["d"], return_inverse=True)
-        n, p = e["n"].astype(np.int64), e["p"].astype(np.int64)
-        end = np.searchsorted(e["h"], e["h"], "right")
-        at = np.flatnonzero(end - np.arange(len(e)) > 1)
-        found, waiting, held = np.empty(0, np.int64), [], 0
-        step = 0
-        while len(at):
-            step += 1
-            to = at + step
-            ok = possible(n[at], p[at], n[to], p[to], percent)
-            waiting.append(own[at[ok]] * len(names) + own[to[ok]])
-            held += len(waiting[-1])
-            if held > max(1 << 21, len(found)):
-                found, waiting, held = np.unique(np.concatenate([found, *waiting])), [], 0
-            at = at[to + 1 < end[at]]
-        found = np.unique(np.concatenate([found, *waiting]))
-        x, y = np.divmod(found, max(1, len(names)))
-        return pa.table({"a": _signed(names[x]), "b": _signed(names[y])})
+        e = e[new]  # several blocks may send the same class
+        has, lead = meetings(e, percent, most)
+        hub, d, n = e["d"][lead[has]], e["d"][has], e["n"][has]
+        order = np.lexsort((d, hub))
+        hub, d, n = hub[order], d[order], n[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (hub[1:] != hub[:-1]) | (d[1:] != d[:-1])
+        return pa.table({"hub": _signed(hub[new]), "d": _signed(d[new]), "n": pa.array(n[new], pa.int64())})
 
     return run
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A filter of fixed size that has every class of the pairs."""
-    words = pairs.select(F.explode(F.array("a", "b")).alias("d")).select(F.shiftrightunsigned("d", 64 - WANTED).alias("x")).select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(x, 64) as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+def _wanted(met: DataFrame) -> np.ndarray:
+    """Bits of a filter of fixed size that has every class that meets another."""
+    words = met.select(F.shiftrightunsigned("d", 64 - WANTED).alias("x")).select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(x, 64) as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
     out = np.zeros(1 << (WANTED - 6), np.int64)
-    for batch in words.toLocalIterator():
-        out[batch["w"]] = batch["m"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["m"]
+    return out.view(np.uint8)
 
 
-def _sets(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(d1, d2, grams) of the wanted classes, once a task."""
+def _sets(docs: DataFrame, k: int, percent: int, bits: int, sketch, wanted) -> DataFrame:
+    """(d1, d2, q, grams) of the wanted classes, once a block: the grams rare first, and what the sketch says of the prefix's last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, seen = wanted.value, set()
+        want, rare = wanted.value, sketch.value
         for _, data, offs in X.blocks(batches, TEXT):
             h, so = shingle_sets(X.LOWER[data], offs, k)
             d1, d2 = digests(h, so)
-            pick = np.flatnonzero(want[slot(d1, WANTED)] & (np.diff(so) > 0))
-            pick = [i for i in pick.tolist() if not (d1[i] in seen or seen.add(d1[i]))]
-            if pick:
-                yield pa.RecordBatch.from_arrays([_signed(d1[pick]), _signed(d2[pick]), pa.array([h[so[i] : so[i + 1]].tobytes() for i in pick], pa.binary())], names=["d1", "d2", "grams"])
-
-    return docs.mapInArrow(run, "d1 long, d2 long, grams binary")
-
-
-def overlap_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Suffix filter, then the exact overlap of two sorted sets."""
-    need = int(needed(len(x), len(y), percent))
-    if min(len(x), len(y)) < need:
-        return False
-    pivots = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-    apart = np.abs(np.diff(np.searchsorted(x, pivots), prepend=0, append=len(x)) - np.diff(np.searchsorted(y, pivots), prepend=0, append=len(y))).sum()
-    if apart > len(x) + len(y) - 2 * need:
-        return False
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int((y[at] == x).sum()) >= need
+            x = slot(d1, WANTED)
+            pick = _alone(d1, d2)
+            pick = pick[((want[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0)[pick] & (np.diff(so)[pick] > 0)]
+            if len(pick):
+                h, q = _rare_first(h, so, rare, bits)
+                last = so[pick] + prefix_length(np.diff(so)[pick], percent) - 1
+                grams = [h[so[i] : so[i + 1]].tobytes() for i in pick.tolist()]
+                yield pa.RecordBatch.from_arrays([_signed(d1[pick]), _signed(d2[pick]), pa.array(q[last].astype(np.int32)), pa.array(grams, pa.binary())], names=["d1", "d2", "q", "grams"])
+
+    return docs.mapInArrow(run, "d1 long, d2 long, q int, grams binary")
+
+
+class Tile:
+    """Some classes of a cluster, with what the filters need of them: sets rare first, order of the last n-gram of each prefix, earlier leaders."""
+
+    def __init__(self, grams: list[np.ndarray], q: list[int], earlier: list[np.ndarray], percent: int):
+        self.grams, self.earlier = grams, earlier
+        self.n = np.array([len(g) for g in grams], np.int64)
+        self.length = prefix_length(self.n, percent)
+        self.heads = [g[:m] for g, m in zip(grams, self.length.tolist(), strict=True)]
+        self.last = [(a, int(g[-1])) for a, g in zip(q, self.heads, strict=True)]
+        row = np.repeat(np.arange(len(grams)), self.n)
+        self.spread = np.bincount(row * 64 + (np.concatenate(grams) >> np.uint64(58)).astype(np.int64), minlength=64 * len(grams)).reshape(-1, 64)
+
+
+NONE = np.empty(0, np.int64), np.empty(0, np.int64)
+
+
+def linked(a: Tile, b: Tile | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a tile with another (None: with itself) that link; a pair is put to the exact test once."""
+    o = a if b is None else b
+    nx, ny = a.n[:, None], o.n[None, :]
+    need = needed(nx, ny, percent)
+    ok = np.minimum(nx, ny) >= need
+    if b is None:
+        ok &= np.arange(len(a.n))[:, None] < np.arange(len(a.n))[None, :]
+    if any(map(len, a.earlier)) and any(map(len, o.earlier)):
+        ok &= overlaps(a.earlier, o.earlier) == 0  # a pair with an earlier leader in common is counted there
+    if not ok.any():
+        return NONE
+    shared = overlaps(a.heads, o.heads)
+    ranks = {key: i for i, key in enumerate(sorted({*a.last, *o.last}))}
+    wx, wy = np.array([ranks[k] for k in a.last])[:, None], np.array([ranks[k] for k in o.last])[None, :]
+    # a common n-gram up to the earlier of both prefixes' ends is in both prefixes; what lies behind it bounds the rest
+    behind = np.where(wx <= wy, nx - a.length[:, None], ny - o.length[None, :])
+    x, y = np.nonzero(ok & (shared > 0) & (shared + behind >= need))
+    step = 1 << 13
+    near = [np.minimum(a.spread[x[i : i + step]], o.spread[y[i : i + step]]).sum(1) for i in range(0, len(x), step)]
+    if not near:
+        return NONE
+    near = np.concatenate(near) >= need[x, y]
+    x, y = x[near], y[near]
+    if not len(x):
+        return NONE
+    rows, xi = np.unique(x, return_inverse=True)
+    columns, yi = np.unique(y, return_inverse=True)
+    exact = overlaps([a.grams[i] for i in rows.tolist()], [o.grams[j] for j in columns.tolist()])[xi, yi]
+    on = exact >= need[x, y]
+    return x[on], y[on]
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], wide: int = 1 << 16) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, by products of their incidence, long sets by ranges of hashes."""
+    flat = np.concatenate(x + y)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    order = np.argsort(flat)
+    flat, row = flat[order], row[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    first = np.flatnonzero(new)
+    alone = np.diff(np.append(first, len(flat))) == 1
+    column = np.cumsum(new) - 1
+    on = ~alone[column]
+    row, column = row[on], (np.cumsum(~alone) - 1)[column[on]]
+    out = np.zeros((len(x), len(y)), np.float32)
+    cuts = [0, *np.searchsorted(column, np.arange(wide, int(column.max(initial=0)) + 1, wide)).tolist(), len(column)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if lo < hi:
+            c = column[lo:hi] - column[lo]
+            m = np.zeros((len(x) + len(y), int(c[-1]) + 1), np.float32)
+            m[row[lo:hi], c] = 1
+            out += m[: len(x)] @ m[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, of rows sorted by them."""
+    held, before = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(k[lo]) != before:
+                yield pa.Table.from_batches(held)
+                held = []
+            before = tuple(k[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 LINK = ("d1", "d2", "rep", "size")
-
-
-def _verify(percent: int):
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        """The pairs of one pair of blocks that link, with what is known of both classes."""
-        place: dict[int, list[int]] = {}
-        for i, d in enumerate(sets.column("d1").to_pylist()):
-            place.setdefault(d, []).append(i)
-        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("grams")]
-        left, right = [], []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            for i in place.get(a, ()):
-                for j in place.get(b, ()):
-                    if overlap_enough(grams[i], grams[j], percent):
-                        left.append(i)
-                        right.append(j)
-        return pa.table({f"{c}_{side}": sets.column(c).take(pa.array(at, pa.int64())) for side, at in (("a", left), ("b", right)) for c in LINK})
+PAIRS = ", ".join(f"{c}_{side} long" for side in "ab" for c in LINK)
+SUMS = "d1 long, d2 long, rep long, links long, root long"
+
+
+def _cluster_links(table: pa.Table, percent: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a pair of blocks that link."""
+    own, hub, i = table.column("own").to_numpy(), table.column("hub")[0].as_py(), table.column("i")[0].as_py()
+    grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
+    earlier = [np.array([h for h in hubs if h < hub], np.int64) for hubs in table.column("hubs").to_pylist()]
+    q = table.column("q").to_pylist()
+
+    def tiles(rows: np.ndarray) -> list[tuple[np.ndarray, Tile]]:
+        cut = [rows[at : at + tile] for at in range(0, len(rows), tile)]
+        return [(part, Tile([grams[r] for r in part], [q[r] for r in part], [earlier[r] for r in part], percent)) for part in cut]
+
+    first = tiles(np.flatnonzero(own == i))
+    found = []
+    if table.column("j")[0].as_py() == i:
+        todo = [(first[x], first[y] if y > x else None) for x in range(len(first)) for y in range(x, len(first))]
+    else:
+        second = tiles(np.flatnonzero(own != i))
+        todo = [(x, y) for x in first for y in second]
+    for (rows, a), other in todo:
+        x, y = linked(a, other and other[1], percent)
+        found.append((rows[x], (other[0] if other else rows)[y]))
+    return np.concatenate([x for x, _ in found] or [NONE[0]]), np.concatenate([y for _, y in found] or [NONE[0]])
+
+
+def _verify(percent: int, pairs: bool, tile: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _clusters(batches, ("hub", "i", "j")):
+            x, y = _cluster_links(table, percent, tile)
+            if not len(x):
+                continue
+            if pairs:
+                columns = {f"{c}_{side}": table.column(c).take(pa.array(at)).combine_chunks() for side, at in (("a", x), ("b", y)) for c in LINK}
+            else:
+                size, rep = table.column("size").to_numpy(), table.column("rep").to_numpy()
+                links = np.zeros(len(size), np.int64)
+                np.add.at(links, x, size[y])
+                np.add.at(links, y, size[x])
+                root = rep.copy()
+                while True:
+                    least = np.minimum(root[x], root[y])
+                    if (root[x] == least).all() and (root[y] == least).all():
+                        break
+                    np.minimum.at(root, x, least)
+                    np.minimum.at(root, y, least)
+                on = pa.array(np.flatnonzero(links))
+                columns = {c: table.column(c).take(on).combine_chunks() for c in ("d1", "d2", "rep")} | {"links": pa.array(links).take(on), "root": pa.array(root).take(on)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        X.give_back()
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, blocks: int) -> DataFrame:
-    """Verified pairs of classes: digests, representative and number of documents of both."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_wanted(pairs))
-    sets = _sets(docs, k, wanted).dropDuplicates(["d1", "d2"]).join(classes, ["d1", "d2"])
-    x, y = F.pmod("a", F.lit(blocks)), F.pmod("b", F.lit(blocks))
-    dealt = pairs.withColumn("at", F.least(x, y) * blocks + F.greatest(x, y))
-    needs = dealt.select(F.col("at").alias("to"), F.explode(F.array("a", "b")).alias("d1")).distinct()
-    sent = needs.join(sets, "d1").select("to", *LINK, "grams")
-    return dealt.groupBy("at").cogroup(sent.groupBy("to")).applyInArrow(_verify(percent), ", ".join(f"{c}_{side} long" for side in "ab" for c in LINK))
-
-
-def _join(known: DataFrame, k: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (id, n, d1, d2), classes (d1, d2, rep, size) and all links between different classes."""
+def _join(known: DataFrame, k: int, percent: int, bits: int, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, n, d1, d2), classes (d1, d2, rep, size), and what :func:`_verify` says of the links between different classes."""
     spark = known.sparkSession
-    parts = partitions_of(known)
-    buckets = max(8, min(20_000, 2 * parts))
+    buckets = max(8, min(20_000, 2 * partitions_of(known)))
     both = materialize(_signatures(known, k, bits), "signatures")
     rows = both.where("part is null").select("id", "n", "d1", "d2")
     sketch = spark.sparkContext.broadcast(_sketch(both, bits))
     classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_cross(percent), "a long, b long")
-    pairs = materialize(met.distinct(), "pairs")
-    return rows, classes, materialize(_links(known, pairs, classes, k, percent, max(16, int(4 * parts**0.5))), "links")
+    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, FEW), "hub long, d long, n long")
+    met = materialize(met.distinct(), "met")
+    wanted = spark.sparkContext.broadcast(_wanted(met))
+    parts = F.greatest(F.ceil(F.count("*") / F.greatest(F.lit(BLOCK_CLASSES), 4 * F.sqrt(F.count("*")))), F.ceil(F.sum("n") / BLOCK_GRAMS))
+    large = met.groupBy("hub").agg(parts.alias("parts")).where("parts > 1")
+    of = met.join(large, "hub", "left").groupBy(F.col("d").alias("d1")).agg(F.collect_list(F.struct("hub", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("to"))
+    sets = _sets(known, k, percent, bits, sketch, wanted).dropDuplicates(["d1", "d2"]).join(classes.join(of, "d1"), ["d1", "d2"])
+    dealt = sets.select(*LINK, "q", F.col("to.hub").alias("hubs"), "grams", F.explode("to").alias("t"))
+    dealt = dealt.select(*LINK, "q", "hubs", "grams", "t.hub", F.col("t.parts").alias("parts")).withColumn("own", F.pmod(F.xxhash64("d1", "d2"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select(*LINK, "q", "hubs", "grams", "hub", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    checked = dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_verify(percent, pairs, TILE), PAIRS if pairs else SUMS)
+    links = materialize(checked, "links")
+    release(met)
+    sketch.destroy()
+    wanted.destroy()
+    return rows, classes, links
+
+
+def _members(rows: DataFrame, classes: DataFrame, more: DataFrame) -> DataFrame:
+    """Documents with their class, the number of other documents that they link to, and further columns of ``more`` by class."""
+    extra = [c for c in more.columns if c not in ("d1", "d2", "links")]
+    counted = classes.join(more, ["d1", "d2"], "left").select("d1", "d2", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), *extra)
+    return rows.join(counted, ["d1", "d2"], "left").withColumn("links", F.coalesce("links", F.lit(0)).cast("long"))
 
 
 def ngram_jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -312,31 +491,30 @@ def ngram_jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 
     The first table has a row per document with an id: doc_id, n_shingles, class_1, class_2 (which together name its class;
     null without words) and n_links, the number of other documents that it links to. The second has a row for each two
-    classes that link: a_1, a_2, b_1, b_2. Two documents link if they share a class or their classes are in a row.
+    classes that link: a_1, a_2, b_1, b_2, as many as there are. Two documents link if they share a class or their classes are in a row.
     """
     known = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias(TEXT)).where("id is not null")
-    rows, classes, links = _join(known, k, percent, bits)
+    rows, classes, links = _join(known, k, percent, bits, pairs=True)
     ends = links.select("d1_a", "d2_a", "size_b").union(links.select("d1_b", "d2_b", "size_a")).toDF("d1", "d2", "other")
-    more = ends.groupBy("d1", "d2").agg(F.sum("other").alias("other"))
-    counted = classes.join(more, ["d1", "d2"], "left").select("d1", "d2", (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+    found = _members(rows, classes, ends.groupBy("d1", "d2").agg(F.sum("other").alias("links")))
     has = F.col("n") > 0
-    members = rows.join(counted, ["d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(has, F.col("d1")).alias("class_1"), F.when(has, F.col("d2")).alias("class_2"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    members = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(has, F.col("d1")).alias("class_1"), F.when(has, F.col("d2")).alias("class_2"), F.col("links").alias("n_links"))
     return members, links.select("d1_a", "d2_a", "d1_b", "d2_b").toDF("a_1", "a_2", "b_1", "b_2")
 
 
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 75, bits: int = BITS) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (the smallest doc_id that it reaches by links).
+    """A row per document: doc_id, n_shingles, component_id (the smallest doc_id that it reaches by links) and n_links (documents that it links to).
 
     Two documents link when percent * |union| <= 100 * |intersection| of their sets of k-word n-grams (words are
     runs of bytes other than ASCII white space, A-Z in lower case); a text of fewer words is one n-gram. Documents
     without words have n_shingles 0 and link to nothing, not even to each other. A row without an id links to
-    nothing and has no component. Rows that repeat are in one component; an empty table gives an empty one; other
-    columns are not read. The links themselves are :func:`ngram_jaccard_links`.
+    nothing and has no component. Rows that repeat are in one component, each a link of the others; an empty table gives
+    an empty one; other columns are not read. The links themselves are :func:`ngram_jaccard_links`.
     """
     chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias(TEXT))
     rows, classes, links = _join(chosen.where("id is not null"), k, percent, bits)
-    found = components(links, "rep_a", "rep_b")
-    whole = classes.join(found, classes.rep == found.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = rows.join(whole, ["d1", "d2"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    without = _signatures(chosen.where("id is null"), k, 16).where("part is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    roots = components(links.select("rep", "root").where("rep <> root"), "rep", "root").withColumnRenamed("root", "component")
+    found = _members(rows, classes, links.groupBy("d1", "d2").agg(F.sum("links").alias("links")))
+    out = found.join(roots, found.rep == roots.node, "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.col("links").alias("n_links"))
+    without = _signatures(chosen.where("id is null"), k, 0).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(without)

@@ -110,8 +110,10 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
         l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
         c AS (SELECT DISTINCT a AS doc_id, a AS reach FROM l UNION SELECT l.a, c.reach FROM c JOIN l ON l.b = c.doc_id)
-        SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(c.reach))::BIGINT AS component_id
-        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+        SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(c.reach))::BIGINT AS component_id,
+               coalesce(max(m.n_links), 0)::BIGINT AS n_links
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id
+             LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) m ON m.doc_id = d.doc_id GROUP BY d.doc_id
     """,
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),

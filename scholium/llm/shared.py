@@ -2,24 +2,29 @@
 
 Lineage is cut by writing Parquet below the folder that the cluster names in ``spark.checkpoint.dir``: every
 executor sees it, so a lost executor costs a re-read and nothing more. No operator keeps state in a
-machine-local folder.
+machine-local folder. What a written table was shuffled through is deleted as soon as it stands, and a table that
+has been read for the last time is given back by :func:`release`; the rest goes when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where the session names none (tests)."""
+    """The cluster's shared folder; one of our own only where the session names none and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scholium-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,23 +35,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/scholium/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
+@contextlib.contextmanager
+def _cleanup(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with _cleanup(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scholium_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialize` that nothing will read again."""
+    for table in tables:
+        path = table._scholium_path
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            sc = spark.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may already have ended
             return
 

@@ -9,6 +9,8 @@ random byte codes; two different words agree with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15 | 1) ^ np.uint64(8)  # 5 modulo 8, so that powers have the longest period
 _MI = np.uint64(pow(int(_M), -1, 2**64))
-_powers: dict[int, np.ndarray] = {}
+STEP = 1 << 14
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,26 +41,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 2 * BLOCK:
-            _powers[int(base)] = have
-    return have[:n]
+def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` below STEP, and those of base**STEP as far as exponents below ``n`` need them."""
+    low, high = _powers.get(int(base), (None, np.ones(1, np.uint64)))
+    if low is None or len(high) * STEP < n:
+        low = np.full(STEP, base, np.uint64)
+        low[0] = 1
+        np.multiply.accumulate(low, out=low)
+        high = np.repeat(low[-1:] * base, n // STEP + 1)
+        high[0] = 1
+        np.multiply.accumulate(high, out=high)
+        _powers[int(base)] = low, high
+    return low, high
 
 
 def prefix(codes: np.ndarray) -> np.ndarray:
     """Prefix sums of code[i] * M**i; with :func:`span` they give the hash of any span."""
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * _power(_M, len(codes)), out=out[1:])
+    n = len(codes)
+    out = np.zeros(n + 1, np.uint64)
+    low, high = _power(_M, n)
+    for i, at in enumerate(range(0, n, STEP)):
+        part = codes[at : at + STEP]
+        np.multiply(part, low[: len(part)] * high[i], out=out[1 + at : 1 + at + len(part)])
+    np.cumsum(out, out=out)
     return out
 
 
 def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * _power(_MI, len(sums))[start])
+    low, high = _power(_MI, len(sums))
+    return mix((sums[end] - sums[start]) * low[start & (STEP - 1)] * high[start >> STEP.bit_length() - 1])
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker process outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def flatten(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,15 +92,18 @@ def flatten(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Whole rows in blocks of about ``limit`` bytes: (rows, bytes, offsets)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, offs = flatten(batch.column(column))
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-            yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-            lo = hi
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offs = flatten(batch.column(column))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+                yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                lo = hi
+    finally:
+        give_back()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

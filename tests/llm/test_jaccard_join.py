@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.jaccard_join import ngram_jaccard_join, ngram_jaccard_links, overlap_enough
+from scholium.llm.jaccard_join import ngram_jaccard_join, ngram_jaccard_links, overlaps
 from tests.llm import cases
 
 
@@ -17,6 +17,7 @@ def shingles(text, k=5):
 def brute(rows):
     sets = [(i, shingles(t)) for i, t in rows]
     root = {i: i for i, _ in rows}
+    links = dict.fromkeys(root, 0)
 
     def find(x):
         while root[x] != x:
@@ -26,9 +27,10 @@ def brute(rows):
     for n, (i, a) in enumerate(sets):
         for j, b in sets[n + 1 :]:
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                links[i], links[j] = links[i] + 1, links[j] + 1
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return {(i, len(a), find(i)) for i, a in sets}
+    return {(i, len(a), find(i), links[i]) for i, a in sets}
 
 
 def edited(rng, words, share):
@@ -78,7 +80,7 @@ def test_all_links_within_a_group_are_listed(spark):
 
 def test_rows_without_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (3, "A b c d e f")], "doc_id long, text string")
-    assert sorted(map(str, ngram_jaccard_join(df, bits=16).collect())) == sorted(["Row(doc_id=None, n_shingles=2, component_id=None)", *["Row(doc_id=5, n_shingles=2, component_id=3)"] * 2, "Row(doc_id=3, n_shingles=2, component_id=3)"])
+    assert sorted(map(str, ngram_jaccard_join(df, bits=16).collect())) == sorted(["Row(doc_id=None, n_shingles=2, component_id=None, n_links=0)", *["Row(doc_id=5, n_shingles=2, component_id=3, n_links=2)"] * 2, "Row(doc_id=3, n_shingles=2, component_id=3, n_links=2)"])
     assert ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string"), bits=16).count() == 0
 
 
@@ -88,10 +90,20 @@ def test_components_of_a_long_path(spark):
     assert got == {(i, 0) for i in range(61)} | {(100, 100), (101, 100), (102, 100), (200, 200), (201, 200)}
 
 
-def test_overlap():
+def test_large_clusters_in_blocks(spark, monkeypatch):
+    """Groups above every bound of a block, a tile and the all-pairs filter give what small ones give."""
+    from scholium.llm import jaccard_join
+
+    for name, value in (("FEW", 3), ("BLOCK_CLASSES", 4), ("TILE", 3), ("BLOCK_GRAMS", 700)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = corpus()
+    got = jaccard_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits=16)
+    assert {tuple(r) for r in got.collect()} == brute(rows) and got.count() == len(rows)
+
+
+def test_overlaps():
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        x = np.unique(rng.integers(0, 2**64, 50, dtype=np.uint64))
-        y = np.unique(np.concatenate([rng.choice(x, 40), rng.integers(0, 2**64, rng.integers(1, 20), dtype=np.uint64)]))
-        o = len(np.intersect1d(x, y))
-        assert overlap_enough(x, y, 75) == (100 * o >= 75 * (len(x) + len(y) - o))
+    x = [np.unique(rng.integers(0, 300, n, dtype=np.uint64)) for n in rng.integers(1, 90, 20)]
+    y = [np.unique(rng.integers(0, 300, n, dtype=np.uint64)) for n in rng.integers(0, 90, 30)]
+    for wide in (7, 1 << 16):
+        assert overlaps(x, y, wide).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
