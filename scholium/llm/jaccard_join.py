@@ -8,7 +8,8 @@
    sent out, by n-gram, as (n-gram, class, size, position).
 4. Classes that meet at an n-gram and pass the filters by length and position are not written out as pairs: each is
    put down beside a leader, the class of least digest that hangs together with it there. Any two that could link have a
-   leader in common, so a leader's classes are a cluster, in which all pairs are looked at.
+   leader in common, so a leader's classes are a cluster, in which all pairs are looked at. From small clusters those
+   classes go first that share too few n-grams of their prefixes with any other (the positional bound, by counts).
 5. The sets go to their clusters. A large cluster is dealt into blocks and a task takes a pair of blocks, so neither a
    cluster nor its pairs are gathered anywhere. A task puts each pair through the filters (length, common n-grams of the
    prefixes and the positional bound that follows, suffix filter by counts between fixed pivots) and the rest to the
@@ -32,7 +33,7 @@ from scholium.llm.components import components
 from scholium.llm.rows import TEXT
 from scholium.llm.shared import materialize, partitions_of, release
 
-BITS = 22
+BITS = 24
 PART = 1 << 16
 #: Bits of the filter that says which classes are wanted; when it is too full it lets through more, never less.
 WANTED = 24
@@ -56,6 +57,11 @@ def possible(nx, px, ny, py, percent: int):
     return enough & (np.minimum(px, py) + 1 + np.minimum(nx - px, ny - py) - 1 >= needed(nx, ny, percent))
 
 
+def _by_row(rows: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by row; few rows sort as short numbers, in linear time."""
+    return np.argsort(rows.astype(np.uint16) if n < 1 << 16 else rows, kind="stable")
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of every row, sorted within it, and the rows' offsets. Fewer than k words make one n-gram."""
     s, e, wo = X.words(data, offs)
@@ -75,7 +81,8 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
             own[has] += w[wo[short[has]] + i] * X.CODE[i]
         h = np.concatenate([h, X.mix(own ^ X.CODE[100 + n[short]])])
         rows = np.concatenate([rows, short])
-    order = np.lexsort((h, rows))
+    order = np.argsort(h)
+    order = order[_by_row(rows[order], len(offs) - 1)]
     h, rows = h[order], rows[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
@@ -116,7 +123,7 @@ def _signatures(docs: DataFrame, k: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits if bits else 0, np.uint32)
         none = lambda n, t: pa.nulls(n, t)
-        names = ["id", "n", "d1", "d2", "part", "counts"]
+        names = ["id", "n", "d1", "d2", "part", "wide", "counts"]
         for rows, data, offs in X.blocks(batches, TEXT):
             h, so = shingle_sets(X.LOWER[data], offs, k)
             d1, d2 = digests(h, so)
@@ -126,43 +133,54 @@ def _signatures(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 at, n = np.unique(slot(h[np.repeat(fresh, np.diff(so))], bits), return_counts=True)
                 counts[at] += n.astype(np.uint32)
             m = rows.num_rows
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(so)), _signed(d1), _signed(d2), none(m, pa.int32()), none(m, pa.binary())], names=names)
-        parts = [(i, counts[i * PART : (i + 1) * PART]) for i in range(-(-len(counts) // PART))]
-        parts = [(i, x) for i, x in parts if x.any()]
-        if parts:
-            m = len(parts)
-            # the width of a counter stands in the blob's length
-            blobs = [(x.astype(np.uint8) if x.max() < 256 else x.astype("<u2") if x.max() < 65536 else x.astype("<u4")).tobytes() for _, x in parts]
-            yield pa.RecordBatch.from_arrays([*[none(m, pa.int64())] * 4, pa.array([i for i, _ in parts], pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(so)), _signed(d1), _signed(d2), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary())], names=names)
+        parts = [(i, *packed(counts[i * PART : (i + 1) * PART])) for i in range(-(-len(counts) // PART))]
+        parts = [x for x in parts if x[2]]
+        for at in range(0, len(parts), 64):
+            some = parts[at : at + 64]
+            m = len(some)
+            yield pa.RecordBatch.from_arrays([*[none(m, pa.int64())] * 4, *[pa.array([x[i] for x in some], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]], names=names)
+
+    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, part int, wide int, counts binary")
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, part int, counts binary")
 
+def packed(counts: np.ndarray) -> tuple[int, bytes]:
+    """Bytes of a count, and the counters of a part that are not zero: places in two bytes each, then the counts."""
+    at = np.flatnonzero(counts)
+    n = counts[at]
+    wide = 1 if n.max(initial=0) < 256 else 4
+    return wide, at.astype("<u2").tobytes() + n.astype(f"<u{wide}").tobytes()
 
-def counters(blob: bytes, size: int = PART) -> np.ndarray:
-    return np.frombuffer(blob, {1: np.uint8, 2: "<u2", 4: "<u4", 8: "<u8"}[len(blob) // size])
+
+def unpacked(blob: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // (2 + wide)
+    return np.frombuffer(blob, "<u2", n).astype(np.int64), np.frombuffer(blob, f"<u{wide}", n, 2 * n)
 
 
 def _add_parts(table: pa.Table) -> pa.Table:
+    """The sum of the counters of a part, as logarithms in 8 bits: 0 for none, 1 for one."""
     total = np.zeros(PART, np.uint64)
-    for blob in table.column("counts"):
-        total += counters(blob.as_py())
-    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.astype("<u8").tobytes()], pa.binary())})
+    for blob, wide in zip(table.column("counts"), table.column("wide").to_pylist(), strict=True):
+        at, n = unpacked(blob.as_py(), wide)
+        total[at] += n
+    level = np.minimum(np.log2(np.maximum(total, 1)) * 6 + (total > 0), 255).astype(np.uint8)
+    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([level.tobytes()], pa.binary())})
 
 
 def _sketch(signatures: DataFrame, bits: int) -> np.ndarray:
-    """Logarithms of the summed counters, in 16 bits: of fixed size whatever the corpus."""
-    out = np.zeros(1 << bits, np.uint16)
-    merged = signatures.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_parts, "part int, counts binary")
+    """Logarithms of the summed counters, in 8 bits: of fixed size whatever the corpus."""
+    out = np.zeros(max(PART, 1 << bits), np.uint8)
+    merged = signatures.where("part is not null").select("part", "wide", "counts").groupBy("part").applyInArrow(_add_parts, "part int, counts binary")
     for r in merged.toLocalIterator():
-        x = counters(bytes(r["counts"]))
-        out[r["part"] << 16 : (r["part"] + 1) << 16] = np.minimum(np.log2(np.maximum(x, 1)) * 1500 + (x > 0), 65535)
-    return out
+        out[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint8)
+    return out[: 1 << bits]
 
 
 def _rare_first(h: np.ndarray, so: np.ndarray, rare: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of every row, rare first, and what the sketch says of each."""
     q = rare[slot(h, bits)]
-    order = np.lexsort((h, q, X.row_of(so)))
+    order = np.argsort(q, kind="stable")  # the n-grams of a row come in order of their hashes
+    order = order[_by_row(X.row_of(so)[order], len(so) - 1)]
     return h[order], q[order]
 
 
@@ -258,7 +276,7 @@ def meetings(e: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.nda
 
 def _meet(percent: int, most: int):
     def run(table: pa.Table) -> pa.Table:
-        """(hub, d, n): every class of the bucket beside the leader of those that it meets at some n-gram."""
+        """(hub, d, n, c): every class of the bucket beside the leader of those that it meets, and at how many n-grams."""
         e = np.frombuffer(b"".join(x.as_py() for x in table.column("entries")), ENTRY)
         e = e[np.lexsort((e["d"], e["h"]))]
         new = np.ones(len(e), bool)
@@ -270,7 +288,28 @@ def _meet(percent: int, most: int):
         hub, d, n = hub[order], d[order], n[order]
         new = np.ones(len(d), bool)
         new[1:] = (hub[1:] != hub[:-1]) | (d[1:] != d[:-1])
-        return pa.table({"hub": _signed(hub[new]), "d": _signed(d[new]), "n": pa.array(n[new], pa.int64())})
+        c = np.diff(np.append(np.flatnonzero(new), len(d)))
+        return pa.table({"hub": _signed(hub[new]), "d": _signed(d[new]), "n": pa.array(n[new], pa.int64()), "c": pa.array(c)})
+
+    return run
+
+
+def _thin(percent: int, most: int):
+    """Leaves out of small clusters the classes that share too few n-grams with all others there.
+
+    ``total`` is the number of n-grams of its prefix at which a class meets any other, so two classes have at most the
+    lesser total in common there; what lies behind the prefixes bounds the rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _clusters(batches, ("hub",)):
+            if table.num_rows <= most:
+                n, total = table.column("n").to_numpy(), table.column("total").to_numpy()
+                behind = n - prefix_length(n, percent)
+                ok = np.minimum.outer(total, total) + np.maximum.outer(behind, behind) >= needed(n[:, None], n[None, :], percent)
+                np.fill_diagonal(ok, False)
+                table = table.filter(pa.array(ok.any(axis=1)))
+            yield from table.select(["hub", "d", "n"]).to_batches()
 
     return run
 
@@ -460,8 +499,11 @@ def _join(known: DataFrame, k: int, percent: int, bits: int, pairs: bool = False
     rows = both.where("part is null").select("id", "n", "d1", "d2")
     sketch = spark.sparkContext.broadcast(_sketch(both, bits))
     classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, FEW), "hub long, d long, n long")
-    met = materialize(met.distinct(), "met")
+    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, FEW), "hub long, d long, n long, c long")
+    every = materialize(met.groupBy("hub", "d").agg(F.min("n").alias("n"), F.sum("c").alias("c")), "every")
+    met = every.join(every.groupBy("d").agg(F.sum("c").alias("total")), "d").select("hub", "d", "n", "total")
+    met = materialize(met.repartition("hub").sortWithinPartitions("hub").mapInArrow(_thin(percent, FEW), "hub long, d long, n long"), "met")
+    release(every)
     wanted = spark.sparkContext.broadcast(_wanted(met))
     parts = F.greatest(F.ceil(F.count("*") / F.greatest(F.lit(BLOCK_CLASSES), 4 * F.sqrt(F.count("*")))), F.ceil(F.sum("n") / BLOCK_GRAMS))
     large = met.groupBy("hub").agg(parts.alias("parts")).where("parts > 1")
