@@ -33,12 +33,15 @@ from scholium.llm.components import components
 from scholium.llm.rows import TEXT
 from scholium.llm.shared import materialize, partitions_of, release
 
-BITS = 24
+BITS = 25
 PART = 1 << 16
 #: Bits of the filter that says which classes are wanted; when it is too full it lets through more, never less.
 WANTED = 24
 #: Classes of an n-gram whose pairs are all put to the filters before they get a leader.
 FEW = 16
+#: A number of common n-grams that sets no bound.
+UNKNOWN = 1 << 31
+MET = np.dtype([("hub", "<u8"), ("d", "<u8"), ("n", "<u4"), ("c", "<u4")])
 #: Classes of a block at least, and the sum of set sizes that a block is to have at most.
 BLOCK_CLASSES = 256
 BLOCK_GRAMS = 500_000
@@ -121,7 +124,7 @@ def _signatures(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Rows (id, n, d1, d2) for each document and, with ``bits``, rows (part, counts) of the sketch: classes, once a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits if bits else 0, np.uint32)
+        counts = np.zeros(1 << bits if bits else 0, np.uint16)
         none = lambda n, t: pa.nulls(n, t)
         names = ["id", "n", "d1", "d2", "part", "wide", "counts"]
         for rows, data, offs in X.blocks(batches, TEXT):
@@ -131,7 +134,7 @@ def _signatures(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 fresh = np.zeros(len(d1), bool)
                 fresh[_alone(d1, d2)] = True
                 at, n = np.unique(slot(h[np.repeat(fresh, np.diff(so))], bits), return_counts=True)
-                counts[at] += n.astype(np.uint32)
+                counts[at] = np.minimum(counts[at] + n, 65535)
             m = rows.num_rows
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(so)), _signed(d1), _signed(d2), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.binary())], names=names)
         parts = [(i, *packed(counts[i * PART : (i + 1) * PART])) for i in range(-(-len(counts) // PART))]
@@ -148,7 +151,7 @@ def packed(counts: np.ndarray) -> tuple[int, bytes]:
     """Bytes of a count, and the counters of a part that are not zero: places in two bytes each, then the counts."""
     at = np.flatnonzero(counts)
     n = counts[at]
-    wide = 1 if n.max(initial=0) < 256 else 4
+    wide = 1 if n.max(initial=0) < 256 else 2
     return wide, at.astype("<u2").tobytes() + n.astype(f"<u{wide}").tobytes()
 
 
@@ -189,6 +192,17 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + (n > 0)
 
 
+def _packed(key: str, target: np.ndarray, name: str, entries: np.ndarray) -> pa.Table:
+    """A row a target: its number and its entries."""
+    target = target.astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    entries, target = np.ascontiguousarray(entries[order]), target[order]
+    first = np.flatnonzero(np.diff(target, prepend=-1))
+    ends = np.append(first, len(entries)) * entries.itemsize
+    blobs = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(entries.view(np.uint8))])
+    return pa.table({key: pa.array(target[first], pa.int32()), name: blobs.cast(pa.binary())})
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, bits: int, sketch, buckets: int) -> DataFrame:
     """(bucket, entries): packed prefix entries, a row per block and bucket."""
 
@@ -210,14 +224,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int, bits: int, sketch, buckets:
                 entry["p"] = pick - np.repeat(so[rows], length)
                 parts.append(entry)
             every = np.concatenate(parts)
-            bucket = (every["h"] % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            every, bucket = every[order], bucket[order]
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            if len(first):
-                ends = np.append(first, len(every)) * ENTRY.itemsize
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(every)])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), blobs.cast(pa.binary())], names=["bucket", "entries"])
+            if len(every):
+                yield from _packed("bucket", every["h"] % np.uint64(buckets), "entries", every).to_batches()
 
     return docs.mapInArrow(run, "bucket int, entries binary")
 
@@ -230,8 +238,8 @@ def _slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def meetings(e: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For entries sorted by n-gram and class, each once: which of them meet another, and the entry that leads each.
+def meetings(e: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For entries sorted by n-gram and class, each once: which of them meet another, the entry that leads each, and which share their n-gram with many.
 
     Two classes that share an n-gram and pass the filters have the same leader. Up to ``most`` classes of an n-gram, all
     pairs are put to the filters and what hangs together has one leader; of more, they are ordered by size and cut
@@ -243,7 +251,7 @@ def meetings(e: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.nda
     end = np.repeat(start + count, count)
     few = np.repeat(count <= most, count)
     n, p = e["n"].astype(np.int64), e["p"].astype(np.int64)
-    lead, has = np.arange(m), np.zeros(m, bool)
+    lead, has, large = np.arange(m), np.zeros(m, bool), np.zeros(m, bool)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at = np.flatnonzero(few)
     for step in range(1, most):
@@ -270,30 +278,45 @@ def meetings(e: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.nda
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(at)))
         lead[at] = np.repeat(np.minimum.reduceat(at, first), size)
-        has[at] = np.repeat(size > 1, size)
-    return has, lead
+        has[at] = large[at] = np.repeat(size > 1, size)
+    return has, lead, large
 
 
-def _meet(percent: int, most: int):
+def _meet(percent: int, most: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        """(hub, d, n, c): every class of the bucket beside the leader of those that it meets, and at how many n-grams."""
+        """(to, met): every class of the bucket beside the leader of those that it meets, and at how many n-grams (UNKNOWN where many share one), packed by leader."""
         e = np.frombuffer(b"".join(x.as_py() for x in table.column("entries")), ENTRY)
         e = e[np.lexsort((e["d"], e["h"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["d"][1:] != e["d"][:-1])
         e = e[new]  # several blocks may send the same class
-        has, lead = meetings(e, percent, most)
-        hub, d, n = e["d"][lead[has]], e["d"][has], e["n"][has]
-        order = np.lexsort((d, hub))
-        hub, d, n = hub[order], d[order], n[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (hub[1:] != hub[:-1]) | (d[1:] != d[:-1])
-        c = np.diff(np.append(np.flatnonzero(new), len(d)))
-        return pa.table({"hub": _signed(hub[new]), "d": _signed(d[new]), "n": pa.array(n[new], pa.int64()), "c": pa.array(c)})
+        has, lead, large = meetings(e, percent, most)
+        met = np.empty(int(has.sum()), MET)
+        met["hub"], met["d"], met["n"], met["c"] = e["d"][lead[has]], e["d"][has], e["n"][has], np.where(large[has], UNKNOWN, 1)
+        met = _summed(met)
+        return _packed("to", X.mix(met["hub"]) % np.uint64(buckets), "met", met)
 
     return run
 
 
+def _summed(met: np.ndarray) -> np.ndarray:
+    """Each leader and class once, with the sum of their n-grams."""
+    met = met[np.lexsort((met["d"], met["hub"]))]
+    if not len(met):
+        return met
+    new = np.ones(len(met), bool)
+    new[1:] = (met["hub"][1:] != met["hub"][:-1]) | (met["d"][1:] != met["d"][:-1])
+    out = met[new]
+    out["c"] = np.minimum(np.add.reduceat(met["c"].astype(np.int64), np.flatnonzero(new)), UNKNOWN)
+    return out
+
+
+def _every(table: pa.Table) -> pa.Table:
+    """(hub, d, n, c) of the leaders that are gathered here."""
+    met = _summed(np.frombuffer(b"".join(x.as_py() for x in table.column("met")), MET))
+    return pa.table({"hub": _signed(met["hub"]), "d": _signed(met["d"]), "n": pa.array(met["n"].astype(np.int64)), "c": pa.array(met["c"].astype(np.int64))})
+
+
 def _thin(percent: int, most: int):
     """Leaves out of small clusters the classes that share too few n-grams with all others there.
 
@@ -499,8 +522,8 @@ def _join(known: DataFrame, k: int, percent: int, bits: int, pairs: bool = False
     rows = both.where("part is null").select("id", "n", "d1", "d2")
     sketch = spark.sparkContext.broadcast(_sketch(both, bits))
     classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, FEW), "hub long, d long, n long, c long")
-    every = materialize(met.groupBy("hub", "d").agg(F.min("n").alias("n"), F.sum("c").alias("c")), "every")
+    met = _prefixes(known, k, percent, bits, sketch, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(percent, FEW, buckets), "to int, met binary")
+    every = materialize(met.repartition(buckets, "to").groupBy("to").applyInArrow(_every, "hub long, d long, n long, c long"), "every")
     met = every.join(every.groupBy("d").agg(F.sum("c").alias("total")), "d").select("hub", "d", "n", "total")
     met = materialize(met.repartition("hub").sortWithinPartitions("hub").mapInArrow(_thin(percent, FEW), "hub long, d long, n long"), "met")
     release(every)
