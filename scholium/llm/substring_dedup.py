@@ -2,16 +2,20 @@
 
 A window of ``k`` consecutive words goes if its word sequence also starts in a document with a smaller id.
 
-1. Routing: of the ``k // 2``-word grams of a window the least hash is its key, so equal windows have equal keys.
+1. Routing: of the ``k // 5``-word grams of a window the least hash is its key, so equal windows have equal keys.
    Consecutive windows of one key form a segment. Keys that only one document has need no search: the least and
    greatest document of every key, aggregated before the shuffle, set a bit in a filter of fixed size for each key of
    at least two documents (a filter that is too full lets through more, never less).
-2. Segments of such keys go to the shard of their key; equal segments count once, with their least document.
-3. Every shard builds an FM-index: Burrows-Wheeler transform of its segments, words as symbols, in a wavelet matrix
-   of packed bits with block counts. Suffixes are ordered by their first ``k`` words, ties by document: that is all that
-   backward search of up to k words needs, and the first suffix of an interval is that of the least document.
-4. The segments stream against the index: all distinct windows step backwards in lockstep, and a search ends when its
-   interval holds one suffix (its own). Runs of windows with their least documents go back to the documents.
+2. Segments of such keys go to the shard of their key, a block's in one piece with their words in a dictionary; equal
+   segments count once, with their least document.
+3. Every shard builds an FM-index: Burrows-Wheeler transform of its segments in a wavelet matrix of packed bits with block
+   counts. A symbol is a run of ``t`` words, the greatest divisor of k up to its root, and a segment is written ``t`` times,
+   from its first, second, ... word on; a window is then k / t symbols that follow one another. Suffixes are ordered
+   by as many symbols, ties by document: that is all that backward search of a window needs, and the first suffix of
+   an interval is that of the least document.
+4. The segments stream against the index: all windows step backwards in lockstep, and a window's matching statistic
+   is how far it gets before its interval holds one suffix (its own). Those that reach k words are reported, as runs with
+   their least documents, which go back to the documents.
 
 A shard holds distinct segments only. A key that very many different segments share stays in one shard, which indexes
 and searches it in pieces of ``INDEX`` words.
@@ -31,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from scholium.llm import text as X
 from scholium.llm.rows import TEXT
-from scholium.llm.shared import materialize, partitions_of
+from scholium.llm.shared import materialize, partitions_of, release
 
 K = 50
 FILTER = 26
@@ -55,7 +59,7 @@ def segments(w: np.ndarray, wo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     if not len(at):
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    g = max(1, k // 2)
+    g = max(1, k // 5)
     sums = X.prefix(w)
     start = np.arange(len(w) - g + 1)
     key = sliding_min(X.span(sums, start, start + g), k - g + 1)[at]
@@ -125,17 +129,34 @@ def _occurrences(docs: DataFrame, k: int, wanted) -> DataFrame:
     return docs.mapInArrow(run, "g long, digest long, id long, th long, at long")
 
 
-def _bodies(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(g, digest, words): the words of each segment of a wanted key, once a task."""
+SEG = np.dtype([("g", "<i8"), ("digest", "<i8"), ("size", "<i8")])
+
+
+def _bodies(docs: DataFrame, k: int, wanted, shards: int) -> DataFrame:
+    """(shard, segs, dictionary, codes): segments of wanted keys, each once a block, with their words; a row per block and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for _, w, _, g, digest, first, n, _ in _wanted_segments(batches, k, wanted.value):
-            fresh = np.array([not (p in seen or seen.add(p)) for p in zip(g.tolist(), digest.tolist(), strict=True)], bool)
-            body = [w[a : a + m + k - 1].tobytes() for a, m in zip(first[fresh].tolist(), n[fresh].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([_signed(g[fresh]), _signed(digest[fresh]), pa.array(body, pa.binary())], names=["g", "digest", "words"])
+            shard = g.view(np.int64) % shards
+            order = np.lexsort((digest, g, shard))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(g[order]) != 0) | (np.diff(digest[order]) != 0)
+            order = order[new]
+            size = n[order] + k - 1
+            segs = np.empty(len(order), SEG)
+            segs["g"], segs["digest"], segs["size"] = g[order].view(np.int64), digest[order].view(np.int64), size
+            words = w[X.ragged(first[order], size)]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            cut = [*np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist(), len(order)]
+            rows = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                dictionary, codes = np.unique(words[ends[a] : ends[b]], return_inverse=True)
+                rows.append((int(shard[order[a]]), segs[a:b].tobytes(), dictionary.tobytes(), codes.astype("<u2" if len(dictionary) <= 1 << 16 else "<u4").tobytes()))
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["shard", "segs", "dictionary", "codes"])
 
-    return docs.mapInArrow(run, "g long, digest long, words binary")
+    return docs.mapInArrow(run, "shard long, segs binary, dictionary binary, codes binary")
 
 
 class FMIndex:
@@ -184,78 +205,107 @@ class FMIndex:
             low, i = np.where(one, zeros + x, low - x), np.where(one, zeros + y, i - y)
         return i - low
 
-    def search(self, text: np.ndarray, start: np.ndarray, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search of text[s : s + k] for every start s: which patterns have an interval of at least ``least`` suffixes, and its first rank."""
+    def search(self, text: np.ndarray, start: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of text[s : s + depth] for every start s.
+
+        Gives the matching statistic of each, the number of its last symbols that at least ``least`` suffixes begin with,
+        and the first rank of the interval that they make up.
+        """
+        matched, first = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         alive = np.arange(len(start))
-        c = text[start + k - 1]
+        c = text[start + depth - 1]
         lo, hi = self.before[c], self.before[c + 1]
-        for j in range(k - 2, -1, -1):
+        for j in range(depth - 1, -1, -1):
             on = hi - lo >= least
             alive, lo, hi = alive[on], lo[on], hi[on]
             if not len(alive):
                 break
-            c = text[start[alive] + j]
-            lo, hi = self.before[c] + self.rank(c, lo), self.before[c] + self.rank(c, hi)
-        on = hi - lo >= least
-        return alive[on], lo[on]
-
-
-def least_documents(parts: list[np.ndarray], doc: np.ndarray, k: int, limit: int = INDEX) -> list[np.ndarray]:
-    """For every segment the least document of each of its windows, over all segments."""
-    order = np.argsort(doc, kind="stable")
-    parts, own = [parts[i] for i in order.tolist()], doc[order]
-    size = np.array([len(p) for p in parts], np.int64)
-    _, flat = np.unique(np.concatenate(parts), return_inverse=True)
+            matched[alive], first[alive] = depth - j, lo
+            if j:
+                c = text[start[alive] + j - 1]
+                lo, hi = self.before[c] + self.rank(c, lo), self.before[c] + self.rank(c, hi)
+        return matched, first
+
+
+def stride(k: int) -> int:
+    """Words of a symbol: the greatest divisor of k up to its root."""
+    return max(t for t in range(1, int(k**0.5) + 1) if k % t == 0)
+
+
+def least_documents(words: np.ndarray, size: np.ndarray, doc: np.ndarray, k: int, limit: int = INDEX) -> np.ndarray:
+    """For every window of every segment (``size`` words each, one behind another) the least document that has it, over all segments.
+
+    Segments have at least k words each. Windows come in the order of segments and words.
+    """
+    t = stride(k)
     start = np.cumsum(size) - size
-    found = np.repeat(own, size)
-    piece = np.cumsum(size + 1) // limit  # each is an index of its own, the segments stream against all of them
-    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(parts)]
-    last = np.repeat(start + size - k, size)  # last window of the word's segment
-    where = np.flatnonzero(np.arange(len(flat)) <= last)
-    # equal windows are searched once
-    sums = X.prefix(X.mix(flat.astype(np.uint64) ^ X.CODE[211]))
-    _, pick, of = np.unique(X.span(sums, where, where + k), return_index=True, return_inverse=True)
-    best = np.full(len(pick), np.iinfo(np.int64).max)
+    order = np.argsort(doc, kind="stable")  # so that the first suffix of an interval is that of the least document
+    own, m = doc[order], size[order] - t + 1
+    # places of the symbols: of each segment those at words 0, t, 2t, ... and an end, then those at 1, t + 1, ... and an end
+    full = np.cumsum(m + t) - (m + t)
+    row = np.repeat(np.arange(len(order)), m)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+    phase, step = place % t, place // t
+    at = full[row] + phase * (m[row] // t + 1) + np.minimum(phase, m[row] % t) + step
+    sums = X.prefix(X.mix(words ^ X.CODE[211]))
+    first = start[order][row] + place
+    _, symbol = np.unique(X.span(sums, first, first + t), return_inverse=True)
+    text = np.zeros(int((m + t).sum()), np.int64)
+    text[at] = symbol + 1
+    windows = np.flatnonzero(place + k <= size[order][row])
+    found = own[row[windows]]
+    starts, depth = at[windows], k // t
+    piece = np.cumsum(m + t) // limit  # each is an index of its own, the segments stream against all of them
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(order)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if a == b:
-            continue
-        n = int(size[a:b].sum()) + b - a
-        symbols = np.zeros(n, np.int64)
-        into = X.ragged(np.cumsum(size[a:b] + 1) - size[a:b] - 1, size[a:b])
-        symbols[into] = flat[start[a] : start[b - 1] + size[b - 1]] + 1
-        dense, symbols = np.unique(symbols, return_inverse=True)
-        index = FMIndex(symbols, k)
-        owner = np.zeros(n, np.int64)
-        owner[into] = np.repeat(own[a:b], size[a:b])
-        place = np.minimum(np.searchsorted(dense, flat + 1), len(dense) - 1)
-        query = np.where(dense[place] == flat + 1, place, len(dense))
-        alone = len(cuts) == 2
-        hit, first = index.search(query, where[pick], k, 2 if alone else 1)
-        best[hit] = np.minimum(best[hit], owner[index.suffixes[first]])
-    found[where] = np.minimum(found[where], best[of])
-    out = [found[a : a + n - k + 1] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return [out[i] for i in back.tolist()]
+        lo, hi = full[a], full[b - 1] + m[b - 1] + t
+        dense, symbols = np.unique(text[lo:hi], return_inverse=True)
+        index = FMIndex(symbols, depth)
+        where = np.minimum(np.searchsorted(dense, text), len(dense) - 1)
+        query = np.where(dense[where] == text, where, len(dense))
+        matched, rank = index.search(query, starts, depth, 2 if len(cuts) == 2 else 1)
+        hit = np.flatnonzero(matched == depth)
+        owner = np.repeat(own[a:b], m[a:b] + t)
+        found[hit] = np.minimum(found[hit], owner[index.suffixes[rank[hit]]])
+    out = np.empty(len(windows), np.int64)
+    n = size - k + 1
+    into = np.cumsum(n) - n
+    out[np.repeat(into[order], n[order]) + place[windows]] = found
+    return out
 
 
 def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         """(g, digest, s, e, m): runs of windows of a segment that start in document m first, where m is not the last of the segment's documents."""
-        bodies, ends = table.filter(pc.is_valid(table.column("words"))), table.filter(pc.is_valid(table.column("lo")))
+        bodies, ends = table.filter(pc.is_valid(table.column("segs"))), table.filter(pc.is_valid(table.column("lo")))
         lo, hi, g, digest = (ends.column(c).to_numpy() for c in ("lo", "hi", "g", "digest"))
-        place = {x: i for i, x in enumerate(zip(g.tolist(), digest.tolist(), strict=True))}
-        parts: list = [None] * len(place)  # several tasks may send the same segment
-        for x, y, body in zip(bodies.column("g").to_pylist(), bodies.column("digest").to_pylist(), bodies.column("words"), strict=True):
-            parts[place[x, y]] = np.frombuffer(body.as_buffer(), np.uint64)
-        out = []
-        for i, m in enumerate(least_documents(parts, lo, k)):
-            first = np.flatnonzero(np.diff(m, prepend=m[0] - 1))
-            ends = np.append(first[1:], len(m))
-            keep = m[first] < hi[i]
-            out.append(np.stack([np.full(keep.sum(), i), first[keep], ends[keep], m[first[keep]]]))
-        i, s, e, m = np.concatenate(out, axis=1)
-        return pa.table({"g": pa.array(g[i]), "digest": pa.array(digest[i]), "s": pa.array(s), "e": pa.array(e), "m": pa.array(m)})
+        segs, words = [np.empty(0, SEG)], [np.empty(0, np.uint64)]
+        for a, b, c in zip(*(bodies.column(c) for c in ("segs", "dictionary", "codes")), strict=True):
+            dictionary = np.frombuffer(b.as_buffer(), np.uint64)
+            segs.append(np.frombuffer(a.as_buffer(), SEG))
+            words.append(dictionary[np.frombuffer(c.as_buffer(), "<u2" if len(dictionary) <= 1 << 16 else "<u4")])
+        segs, words = np.concatenate(segs), np.concatenate(words)
+        start = np.cumsum(segs["size"]) - segs["size"]
+        order = np.lexsort((segs["digest"], segs["g"]))
+        x, y = segs["g"][order], segs["digest"][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        order = order[new]  # several blocks may send the same segment
+        by = np.lexsort((digest, g))
+        lo, hi, g, digest = lo[by], hi[by], g[by], digest[by]
+        if not (np.array_equal(g, segs["g"][order]) and np.array_equal(digest, segs["digest"][order])):
+            raise ValueError("segments and their documents do not agree")
+        size = segs["size"][order]
+        m = least_documents(words[X.ragged(start[order], size)], size, lo, k) if len(order) else np.empty(0, np.int64)
+        n = size - k + 1
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(m)) - np.repeat(np.cumsum(n) - n, n)
+        first = np.flatnonzero((np.diff(m, prepend=-1) != 0) | (place == 0))
+        end = np.diff(np.append(first, len(m))) + place[first]
+        keep = m[first] < hi[row[first]]
+        first, end = first[keep], end[keep]
+        i = row[first]
+        return pa.table({"g": pa.array(g[i]), "digest": pa.array(digest[i]), "s": pa.array(place[first]), "e": pa.array(end), "m": pa.array(m[first])})
 
     return run
 
@@ -270,10 +320,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ends = occ.groupBy("g", "digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     buckets = max(8, min(20_000, 2 * partitions_of(known)))
     # words go straight to their shard, beside the least and greatest document of each segment
-    both = _bodies(known, k, wanted).unionByName(ends, allowMissingColumns=True)
-    shards = both.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(buckets)))
-    runs = materialize(shards.groupBy("shard").applyInArrow(_search(k), "g long, digest long, s long, e long, m long"), "runs")
-    met = occ.select("g", "digest", "id", "th", "at").join(runs, ["g", "digest"]).where("id > m")
+    shards = _bodies(known, k, wanted, buckets).unionByName(ends.withColumn("shard", F.pmod("g", F.lit(buckets))), allowMissingColumns=True)
+    runs = materialize(shards.repartition(buckets, "shard").groupBy("shard").applyInArrow(_search(k), "g long, digest long, s long, e long, m long"), "runs")
+    wanted.destroy()
+    met = occ.join(runs, ["g", "digest"]).where("id > m")
     return met.select("id", "th", (F.col("at") + F.col("s")).alias("start"), (F.col("at") + F.col("e") + (k - 1)).alias("end"))
 
 

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from scholium.llm.substring_dedup import FMIndex, least_documents, remove_repeats, sliding_min, substring_dedup
+from scholium.llm.substring_dedup import FMIndex, least_documents, remove_repeats, sliding_min, stride, substring_dedup
 from tests.llm import cases
 
 
@@ -58,9 +58,13 @@ def test_index_counts_like_a_scan():
     index = FMIndex(np.append(x, 0), 8)
     for k in (1, 3, 8):
         starts = np.array([s for s in range(500 - k) if x[s : s + k].all()])
-        hit, first = index.search(x, starts, k)
-        assert len(hit) == len(starts)
-        assert all((x[p : p + k] == x[s : s + k]).all() for s, p in zip(starts[hit], index.suffixes[first], strict=True))
+        for least in (1, 3, 9):
+            matched, first = index.search(x, starts, k, least)
+            for s, n, p in zip(starts.tolist(), matched.tolist(), first.tolist(), strict=True):
+                end = s + k
+                often = [sum((x[i : i + j] == x[end - j : end]).all() for i in range(500 - j + 1)) for j in range(1, k + 1)]
+                assert n == sum(c >= least for c in often)
+                assert n == 0 or (x[index.suffixes[p] : index.suffixes[p] + n] == x[end - n : end]).all()
     assert sliding_min(np.array([3, 1, 2, 5, 4]), 3).tolist() == [1, 1, 2]
 
 
@@ -70,6 +74,8 @@ def test_pieces_agree_with_one_index():
     for p in parts[::3]:
         p[len(p) // 2] = 1000 + len(p)
     doc = rng.permutation(60)
-    one, many = least_documents(parts, doc, 4), least_documents(parts, doc, 4, 100)
+    size = np.array([len(p) for p in parts])
     want = [[min(int(d) for p, d in zip(parts, doc, strict=True) if any((p[j : j + 4] == q[i : i + 4]).all() for j in range(len(p) - 3))) for i in range(len(q) - 3)] for q in parts]
-    assert [x.tolist() for x in one] == want and [x.tolist() for x in many] == want
+    for limit in (10**6, 100):
+        assert least_documents(np.concatenate(parts), size, doc, 4, limit).tolist() == sum(want, [])
+    assert [stride(k) for k in (1, 4, 7, 12, 50)] == [1, 2, 1, 3, 5]
