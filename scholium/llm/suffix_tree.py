@@ -7,11 +7,13 @@ must exceed ``GAIN``. Next-word distributions are smoothed towards the suffix's:
 A token is scored in the state of the longest kept suffix of the words before it. Levels are built one behind another
 until no context of a level is kept (or to a ``depth`` that the caller gives).
 
-All counts are Spark tables over all training rows and grow with the corpus. Counts are summed for each block before the
-shuffle; a level's grams are gathered only behind contexts that can be kept (filters of fixed size; a full one lets
-more through, never less). With the smoothing above a token's log probability is a sum of weights of keys (word, kept
-context, gram seen behind it), so scoring joins each document's keys with one table of weights. The ``HOT`` most used
-keys, which is where skew lies, are broadcast and settled in the first pass; all others take the join.
+All counts are over all training rows and grow with the corpus. A block counts its grams first and sends them packed,
+column by column, to the task of the gram one word shorter, where they are summed and get that gram's probability; from there
+they go to the task of their context, which is put to the test. A level's grams are gathered only behind contexts that
+can be kept (filters of fixed size; a full one lets more through, never less). With the smoothing above a token's log
+probability is a sum of weights of keys (word, kept context, gram seen behind it), so scoring joins each document's keys
+with one table of weights. The ``HOT`` most used keys, which is where skew lies, are broadcast and settled in the first
+pass; all others take the join. A task holds at most the words that follow one context, which the vocabulary bounds.
 
 Words stand as 64-bit hashes.
 """
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from scholium.llm import text as X
 from scholium.llm.rows import TEXT
-from scholium.llm.shared import materialize
+from scholium.llm.shared import materialize, partitions_of
 
 LEAST = 8
 GAIN = 2.0
@@ -91,7 +94,7 @@ def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the mixed column ``x``, folded in ranges on the executors; of fixed size whatever the corpus."""
+    """Bits of the only column, folded in ranges on the executors; of fixed size whatever the corpus."""
     part = 1 << (FILTER - 10)
 
     def fold(table: pa.Table) -> pa.Table:
@@ -100,7 +103,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
         bits[at % part] = True
         return pa.table({"part": pa.array([int(at[0]) // part]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    places = keys.select(F.shiftrightunsigned("x", 64 - FILTER).alias("at")).distinct()
+    places = keys.toDF("x").select(F.shiftrightunsigned("x", 64 - FILTER).alias("at")).distinct()
     out = np.zeros(1 << (FILTER - 3), np.uint8)
     size = part >> 3
     for r in places.groupBy(F.expr(f"at div {part}")).applyInArrow(fold, "part long, bits binary").toLocalIterator():
@@ -127,24 +130,56 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _level(docs: DataFrame, depth: int, wanted) -> DataFrame:
-    """(ctx, w, gram, up, c) of grams whose context is in the filter; ``up`` is the gram one word shorter, ``last`` the context one word shorter (of depth 1: the context)."""
+def _dealt(by: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    """A row a task (the remainder of ``by``): the columns' values for it, packed in order of ``by``."""
+    to = (by.view(np.int64) % parts).astype(np.int32)
+    order = np.lexsort((by, to))
+    to = to[order]
+    first = np.flatnonzero(np.diff(to, prepend=-1))
+    out = {"to": pa.array(to[first], pa.int32())}
+    for name, x in columns.items():
+        x = np.ascontiguousarray(x[order])
+        ends = (np.append(first, len(x)) * (x.nbytes // max(1, len(x)))).astype(np.int64)
+        out[name] = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(x.tobytes())]).cast(pa.binary())
+    return pa.table(out)
+
+
+def _gathered(table: pa.Table, **kinds: str) -> list[np.ndarray]:
+    """Columns of :func:`_dealt`, one behind another."""
+    return [np.frombuffer(b"".join(x.as_py() for x in table.column(name) if x.is_valid), kind) for name, kind in kinds.items()]
+
+
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Where the sorted columns change."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new)
+
+
+def _grams(docs: DataFrame, depth: int, wanted, suffixes, parts: int) -> DataFrame:
+    """(to, up, ctx, gram, c): grams whose context is in the filters, a row per block and task of ``up``, the gram one word shorter.
+
+    Of depth 1 ``up`` is the last word itself, from which and the context the gram follows, so it is not sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _opened(wanted.value)
+        bits, lower = _opened(wanted.value), suffixes and _opened(suffixes.value)
         for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
             w, to = tokens(data, offs)
             place, ctx, gram = deque(grams(w, to, depth), 1)[0]
-            on = _in(bits, X.mix(ctx))
+            on = _in(bits, ctx)
             place, ctx, gram = place[on], ctx[on], gram[on]
+            up = w[place]
+            if depth > 1:
+                last = _last(w, place, depth)
+                on = _in(lower, last)
+                ctx, gram, up = ctx[on], gram[on], pair(last[on], up[on])
             at, n = _counted(gram)
-            place, ctx, gram = place[at], ctx[at], gram[at]
-            last = _last(w, place, depth)
-            up = w[place] if depth == 1 else pair(last, w[place])
-            yield pa.RecordBatch.from_arrays([_signed(ctx), _signed(last), _signed(w[place]), _signed(gram), _signed(up), pa.array(n)], names=["ctx", "last", "w", "gram", "up", "c"])
+            columns = {"up": up[at], "ctx": ctx[at], "gram": gram[at] if depth > 1 else np.empty((len(at), 0), np.uint8), "c": n.astype("<u4")}
+            if len(at):
+                yield from _dealt(up[at], parts, columns).to_batches()
 
-    found = docs.mapInArrow(run, "ctx long, last long, w long, gram long, up long, c long")
-    return found.groupBy("ctx", "last", "w", "gram", "up").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "to int, up binary, ctx binary, gram binary, c binary")
 
 
 def _last(w: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
@@ -155,101 +190,119 @@ def _last(w: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
     return last
 
 
-def _contexts(docs: DataFrame, depth: int, suffixes) -> DataFrame:
-    """(ctx, last, c) of contexts of that many words whose suffix is in the filter."""
+def _summed(depth: int, parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(to, ctx, gram, c, up_p): grams summed, with the probability of the one a word shorter; those without go, as its context is not kept."""
+        below = table.filter(pc.is_valid(table.column("key")))
+        key, p = below.column("key").to_numpy().view(np.uint64), below.column("p").to_numpy()
+        order = np.argsort(key)
+        key, p = key[order], p[order]
+        up, ctx, gram, c = _gathered(table, up="<u8", ctx="<u8", gram="<u8", c="<u4")
+        order = np.lexsort((ctx, up))
+        up, ctx, gram, c = up[order], ctx[order], gram[order] if depth > 1 else up[order], c[order]
+        if len(up):
+            first = _first(up, ctx)
+            up, ctx, gram, c = up[first], ctx[first], gram[first], np.add.reduceat(c.astype(np.int64), first)
+        at = np.minimum(np.searchsorted(key, up), max(0, len(key) - 1))
+        on = key[at] == up if len(key) else np.zeros(len(up), bool)
+        return _dealt(ctx[on], parts, {"ctx": ctx[on], "gram": gram[on], "c": c[on].astype(np.int64), "up_p": p[at[on]]})
+
+    return run
+
+
+LEVEL = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(c, t) for c, t in (("key", T.LongType()), ("uses", T.LongType()), ("score", T.DoubleType()), ("p", T.DoubleType()), ("node", T.LongType()))]])
+GRAM, NODE, OFTEN = 0, 1, 2
+
+
+def _tested(depth: int, alpha: float, least: int, gain: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Of the contexts that pass the test the context itself (NODE: what it leaves to its suffix) and its grams (GRAM: the rest
+        of their weight, and their probability); of depth 1 the other grams seen ``least`` times as well (OFTEN)."""
+        ctx, gram, c, up_p = _gathered(table, ctx="<u8", gram="<u8", c="<i8", up_p="<f8")
+        order = np.argsort(ctx, kind="stable")
+        ctx, gram, c, up_p = ctx[order], gram[order], c[order], up_p[order]
+        if depth == 1:
+            gram = pair(ctx, gram)
+        first = _first(ctx) if len(ctx) else np.empty(0, np.int64)
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ctx))))
+        total = np.add.reduceat(c, first) if len(first) else first
+        n = total[row]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alone = c * np.log((c - 1 + alpha * up_p) / (n - 1 + alpha) / up_p)
+            kept = (total >= least) & ((np.add.reduceat(alone, first) if len(first) else total) > gain)
+        left = np.log10(alpha / (total + alpha))
+        on = kept[row]
+        often = ~on & (c >= least) if depth == 1 else np.zeros(len(on), bool)
+        p = (c[on] + alpha * up_p[on]) / (n[on] + alpha)
+        m, k, o = int(on.sum()), int(kept.sum()), int(often.sum())
+        nodes = ctx[first][kept]
+        none = lambda size, t: pa.nulls(size, t)
+        columns = [
+            [pa.array(np.full(m, GRAM, np.int32)), pa.array(np.full(k, NODE, np.int32)), pa.array(np.full(o, OFTEN, np.int32))],
+            [_signed(gram[on]), _signed(context(nodes)), _signed(gram[often])],
+            [pa.array(c[on]), pa.array(total[kept]), pa.array(c[often])],
+            [pa.array(np.log10(p) - np.log10(up_p[on]) - left[row[on]]), pa.array(left[kept]), none(o, pa.float64())],
+            [pa.array(p), none(k, pa.float64()), none(o, pa.float64())],
+            [none(m, pa.int64()), _signed(nodes), none(o, pa.int64())],
+        ]
+        return pa.table([pa.chunked_array(x) for x in columns], names=LEVEL.names)
+
+    return run
+
+
+def _contexts(docs: DataFrame, depth: int, suffixes, least: int, parts: int) -> DataFrame:
+    """Contexts of that many words that were seen ``least`` times and whose suffix is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _opened(suffixes.value)
         for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
             w, to = tokens(data, offs)
             place, ctx, _ = deque(grams(w, to, depth), 1)[0]
-            last = _last(w, place, depth)
-            on = _in(bits, X.mix(last))
-            ctx, last = ctx[on], last[on]
+            ctx = ctx[_in(bits, _last(w, place, depth))]
             at, n = _counted(ctx)
-            yield pa.RecordBatch.from_arrays([_signed(ctx[at]), _signed(last[at]), pa.array(n)], names=["ctx", "last", "c"])
-
-    return docs.mapInArrow(run, "ctx long, last long, c long").groupBy("ctx", "last").agg(F.sum("c").alias("c"))
-
-
-def mixed(key: str) -> Column:
-    """The place of a key in a filter, as :func:`text.mix` gives it; an Arrow pass over long numbers."""
+            if len(at):
+                yield from _dealt(ctx[at], parts, {"ctx": ctx[at], "c": n.astype("<u4")}).to_batches()
 
-    @F.pandas_udf(T.LongType())
-    def run(x):
-        import pandas as pd
+    def summed(table: pa.Table) -> pa.Table:
+        ctx, c = _gathered(table, ctx="<u8", c="<u4")
+        order = np.argsort(ctx)
+        first = _first(ctx[order])
+        return pa.table({"ctx": _signed(ctx[order][first][np.add.reduceat(c[order].astype(np.int64), first) >= least])})
 
-        return pd.Series(X.mix(x.to_numpy().astype(np.int64).view(np.uint64)).view(np.int64))
-
-    return run(F.col(key))
-
-
-def _kept(level: DataFrame, lower: DataFrame, alpha: float, least: int, gain: float) -> DataFrame:
-    """Grams of the contexts that pass the test: ctx, last, w, gram, c, n, p, up_p. ``lower``: (up, up_p)."""
-    both = level.join(lower, "up")
-    alone = F.col("c") * F.log((F.col("c") - 1 + alpha * F.col("up_p")) / (F.col("n") - 1 + alpha) / F.col("up_p"))
-    n = level.groupBy("ctx").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
-    both = both.join(n, "ctx")
-    passed = both.groupBy("ctx").agg(F.sum(alone).alias("g")).where(F.col("g") > gain).select("ctx")
-    p = (F.col("c") + alpha * F.col("up_p")) / (F.col("n") + alpha)
-    return both.join(passed, "ctx", "left_semi").withColumn("p", p)
-
-
-def _weights(kept: DataFrame, alpha: float) -> DataFrame:
-    """(key, uses, known, base, score): of each kept context its share left to the suffix, of each gram the rest."""
-    left = F.log10(F.lit(alpha) / (F.col("n") + alpha))
-    zero = [F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")]
-    contexts = kept.groupBy("ctx").agg(F.max("n").alias("n")).select("ctx", F.col("n").alias("uses"), *zero, left.alias("score"))
-    return contexts.withColumn("key", _context_key("ctx")).select("key", "uses", "known", "base", "score").unionByName(
-        kept.select(F.col("gram").alias("key"), F.col("c").alias("uses"), *zero, (F.log10("p") - F.log10("up_p") - left).alias("score"))
-    )
-
-
-def _context_key(name: str) -> Column:
-    @F.pandas_udf(T.LongType())
-    def run(x):
-        import pandas as pd
-
-        return pd.Series(context(x.to_numpy().astype(np.int64).view(np.uint64)).view(np.int64))
-
-    return run(F.col(name))
+    return docs.mapInArrow(run, "to int, ctx binary, c binary").repartition(parts, "to").groupBy("to").applyInArrow(summed, "ctx long")
 
 
 def learn(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, depth: int | None = 2) -> tuple[DataFrame, int, int, int]:
     """Table of weights (key, uses, known, base, score), training tokens, distinct ones and the depth of the tree. ``docs`` has the text as ``TEXT``."""
     words = materialize(_words(docs), "words")
+    parts = max(8, min(20_000, 2 * partitions_of(docs)))
     r = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(r["n"]), int(r["v"])
     root = words.withColumn("p", (F.col("c") + FIRST) / F.lit(n + FIRST * (v + 1)))
-    end = int(np.array([END]).view(np.int64)[0])
-    often = words.where((F.col("c") >= least) & (F.col("w") != end)).select(mixed("w").alias("x"))
-    level0 = root.select(F.col("w").alias("key"), F.col("c").alias("uses"), F.lit(1).cast("long").alias("known"), F.log10("p").alias("base"), F.log10("p").alias("score"))
-    table, lower, built = level0, root.select(F.col("w").alias("up"), F.col("p").alias("up_p")), 0
-    wanted, suffixes = often, None
+    table = root.select(F.col("w").alias("key"), F.col("c").alias("uses"), F.lit(1).cast("long").alias("known"), F.log10("p").alias("base"), F.log10("p").alias("score"))
+    lower, built = root.select(F.col("w").alias("key"), "p"), 0
+    wanted, suffixes = _shared(docs, words.where(F.col("c") >= least).select("w")), None
     while depth is None or built < depth:
-        shared = _shared(docs, wanted)
+        found = _grams(docs, built + 1, wanted, suffixes, parts).unionByName(lower.withColumn("to", F.pmod("key", F.lit(parts)).cast("int")), allowMissingColumns=True)
+        found = found.repartition(parts, "to").groupBy("to").applyInArrow(_summed(built + 1, parts), "to int, ctx binary, gram binary, c binary, up_p binary")
+        level = materialize(found.repartition(parts, "to").groupBy("to").applyInArrow(_tested(built + 1, alpha, least, gain), LEVEL), f"level{built + 1}")
+        wanted.destroy()
         if suffixes:
             suffixes.destroy()
-            suffixes = None
-        level = _level(docs, built + 1, shared)
-        level = level.join(nodes, "last", "left_semi") if built else materialize(level, "grams1")
-        kept = materialize(_kept(level, lower, alpha, least, gain), f"kept{built + 1}")
-        shared.destroy()
-        if kept.isEmpty():
+        nodes = level.where(F.col("kind") == NODE).select("node")
+        if nodes.isEmpty():
             break
         built += 1
-        table = table.unionByName(_weights(kept, alpha))
-        lower = kept.select(F.col("gram").alias("up"), F.col("p").alias("up_p"))
-        nodes = kept.select(F.col("ctx").alias("last")).distinct()
+        table = table.unionByName(level.where(F.col("kind") != OFTEN).select("key", "uses", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score"))
+        if built == depth:
+            break
+        lower = level.where(F.col("kind") == GRAM).select("key", "p")
         # contexts of one word more: seen often, and a kept context without their first word; of two words the grams
         # of the first level tell, of more they need not be there (their first words may be no kept context)
-        if built == 1:
-            pairs = level.where((F.col("c") >= least) & (F.col("w") != end)).drop("last").withColumnRenamed("w", "last")
-            wanted = pairs.join(nodes, "last", "left_semi").select(mixed("gram").alias("x"))
-        elif depth is None or built < depth:
-            suffixes = _shared(docs, nodes.select(mixed("last").alias("x")))
-            wanted = _contexts(docs, built + 1, suffixes).where(F.col("c") >= least).join(nodes, "last", "left_semi").select(mixed("ctx").alias("x"))
-    return materialize(table, "weights"), n, v, built
+        suffixes = _shared(docs, nodes)
+        more = level.where((F.col("kind") != NODE) & (F.col("uses") >= least)).select("key") if built == 1 else _contexts(docs, built + 1, suffixes, least, parts)
+        wanted = _shared(docs, more)
+    return table, n, v, built
 
 
 def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, hot: int = HOT, depth: int | None = 2) -> DataFrame:
@@ -266,7 +319,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
     table, n, v, depth = learn(chosen.where(~F.col("held_out")), alpha, least, gain, depth)
     unknown = float(np.log10(FIRST / (n + FIRST * (v + 1))))
     top = table.orderBy(F.desc("uses"), "key").limit(hot).toPandas().sort_values("key")
-    shared = spark.sparkContext.broadcast((_filter(table.select(mixed("key").alias("x"))), *[top[c].to_numpy() for c in ("key", "known", "base", "score")]))
+    shared = spark.sparkContext.broadcast((_filter(table.select("key")), *[top[c].to_numpy() for c in ("key", "known", "base", "score")]))
     long, double = T.LongType(), T.DoubleType()
     out = T.StructType([T.StructField("row", long), chosen.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, t) for c, t in (("n_tokens", long), ("n_known", long), ("base", double), ("score", double), ("key", long), ("times", long), ("word", T.BooleanType()))]])
     arrow = to_arrow_schema(out)
@@ -284,7 +337,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
                 of += [row[place]] * 2
                 word += [np.zeros(len(place), bool)] * 2
             key, of, word = np.concatenate(key), np.concatenate(of), np.concatenate(word)
-            may = _in(bits, X.mix(key))
+            may = _in(bits, key)
             lost = np.bincount(of[word & ~may], minlength=m) * unknown
             key, of, word = key[may].view(np.int64), of[may], word[may]
             at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
