@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from scholium.llm import text as X
 from scholium.llm.rows import TEXT
-from scholium.llm.shared import materialize, partitions_of
+from scholium.llm.shared import materialize, partitions_of, release
 
 LEAST = 8
 GAIN = 2.0
@@ -93,41 +94,85 @@ def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bits of the only column, folded in ranges on the executors; of fixed size whatever the corpus."""
-    part = 1 << (FILTER - 10)
+def _filter(table: DataFrame, column: str) -> np.ndarray:
+    """Bits of the packed keys of a column, folded in ranges on the executors; of fixed size whatever the corpus."""
+    ranges = 64
+    part = (1 << FILTER) // ranges
 
-    def fold(table: pa.Table) -> pa.Table:
-        at = table.column("at").to_numpy()
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (key,) = _gathered(batch, **{column: "<u8"})
+            at = np.unique(key >> np.uint64(64 - FILTER)).astype(np.int64)
+            cut = np.searchsorted(at, np.arange(ranges + 1) * part)
+            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([(at[x:y] % part).astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["part", "at"])
+
+    def fold(rows: pa.Table) -> pa.Table:
         bits = np.zeros(part, bool)
-        bits[at % part] = True
-        return pa.table({"part": pa.array([int(at[0]) // part]), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        for x in rows.column("at"):
+            bits[np.frombuffer(x.as_buffer(), "<u4")] = True
+        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    places = keys.toDF("x").select(F.shiftrightunsigned("x", 64 - FILTER).alias("at")).distinct()
     out = np.zeros(1 << (FILTER - 3), np.uint8)
     size = part >> 3
-    for r in places.groupBy(F.expr(f"at div {part}")).applyInArrow(fold, "part long, bits binary").toLocalIterator():
+    for r in table.select(column).mapInArrow(places, "part int, at binary").groupBy("part").applyInArrow(fold, "part int, bits binary").toLocalIterator():
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _shared(docs: DataFrame, keys: DataFrame):
+def _shared(table: DataFrame, column: str):
     """The filter of the keys, for the executors. Few keys leave it nearly empty, so it goes out compressed."""
-    return docs.sparkSession.sparkContext.broadcast(zlib.compress(_filter(keys).tobytes(), 1))
+    return table.sparkSession.sparkContext.broadcast(zlib.compress(_filter(table, column).tobytes(), 1))
 
 
 def _opened(blob: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), np.uint8)
 
 
-def _words(docs: DataFrame) -> DataFrame:
+def _words(docs: DataFrame, parts: int) -> DataFrame:
+    """(to, key, uses, total): words packed with their counts, and the sum of these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
             w, _ = tokens(data, offs)
             at, n = _counted(w)
-            yield pa.RecordBatch.from_arrays([_signed(w[at]), pa.array(n)], names=["w", "c"])
+            yield from _dealt(w[at], parts, {"key": w[at], "c": n.astype("<u4")}).to_batches()
+
+    def summed(table: pa.Table) -> pa.Table:
+        key, c = _gathered(table, key="<u8", c="<u4")
+        order = np.argsort(key)
+        key, c = key[order], c[order].astype(np.int64)
+        first = _first(key)
+        c = np.add.reduceat(c, first)
+        return pa.table({"to": table.column("to").slice(0, 1), "key": [key[first].tobytes()], "uses": [c.tobytes()], "total": [int(c.sum())]})
+
+    return docs.mapInArrow(run, "to int, key binary, c binary").repartition(parts, "to").groupBy("to").applyInArrow(summed, "to int, key binary, uses binary, total long")
+
+
+LEVEL = "to int, kind int, key binary, uses binary, score binary, p binary, node binary"
+WORD, GRAM, NODE, OFTEN = 0, 1, 2, 3
+
+
+def _root(words: DataFrame, n: int, v: int) -> DataFrame:
+    """Words as rows of a level: the probability of each, and its logarithm as weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for to, key, uses in zip(*(batch.column(c).to_pylist() for c in ("to", "key", "uses")), strict=True):
+                p = (np.frombuffer(uses, "<i8") + FIRST) / (n + FIRST * (v + 1))
+                yield pa.RecordBatch.from_pylist([{"to": to, "kind": WORD, "key": key, "uses": uses, "score": np.log10(p).tobytes(), "p": p.tobytes(), "node": None}], pa.schema([("to", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("key", "uses", "score", "p", "node")]]))
+
+    return words.mapInArrow(run, LEVEL)
+
+
+def _often(table: DataFrame, least: int) -> DataFrame:
+    """(key): of the packed keys those used ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, uses = _gathered(batch, key="<u8", uses="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([key[uses >= least].tobytes()], pa.binary())], names=["key"])
 
-    return docs.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return table.select("key", "uses").mapInArrow(run, "key binary")
 
 
 def _dealt(by: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.Table:
@@ -144,7 +189,7 @@ def _dealt(by: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.Tab
     return pa.table(out)
 
 
-def _gathered(table: pa.Table, **kinds: str) -> list[np.ndarray]:
+def _gathered(table: pa.Table | pa.RecordBatch, **kinds: str) -> list[np.ndarray]:
     """Columns of :func:`_dealt`, one behind another."""
     return [np.frombuffer(b"".join(x.as_py() for x in table.column(name) if x.is_valid), kind) for name, kind in kinds.items()]
 
@@ -193,8 +238,7 @@ def _last(w: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
 def _summed(depth: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         """(to, ctx, gram, c, up_p): grams summed, with the probability of the one a word shorter; those without go, as its context is not kept."""
-        below = table.filter(pc.is_valid(table.column("key")))
-        key, p = below.column("key").to_numpy().view(np.uint64), below.column("p").to_numpy()
+        key, p = _gathered(table, key="<u8", p="<f8")
         order = np.argsort(key)
         key, p = key[order], p[order]
         up, ctx, gram, c = _gathered(table, up="<u8", ctx="<u8", gram="<u8", c="<u4")
@@ -210,11 +254,7 @@ def _summed(depth: int, parts: int):
     return run
 
 
-LEVEL = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(c, t) for c, t in (("key", T.LongType()), ("uses", T.LongType()), ("score", T.DoubleType()), ("p", T.DoubleType()), ("node", T.LongType()))]])
-GRAM, NODE, OFTEN = 0, 1, 2
-
-
-def _tested(depth: int, alpha: float, least: int, gain: float):
+def _tested(depth: int, alpha: float, least: int, gain: float, parts: int):
     def run(table: pa.Table) -> pa.Table:
         """Of the contexts that pass the test the context itself (NODE: what it leaves to its suffix) and its grams (GRAM: the rest
         of their weight, and their probability); of depth 1 the other grams seen ``least`` times as well (OFTEN)."""
@@ -234,24 +274,27 @@ def _tested(depth: int, alpha: float, least: int, gain: float):
         on = kept[row]
         often = ~on & (c >= least) if depth == 1 else np.zeros(len(on), bool)
         p = (c[on] + alpha * up_p[on]) / (n[on] + alpha)
-        m, k, o = int(on.sum()), int(kept.sum()), int(often.sum())
         nodes = ctx[first][kept]
-        none = lambda size, t: pa.nulls(size, t)
-        columns = [
-            [pa.array(np.full(m, GRAM, np.int32)), pa.array(np.full(k, NODE, np.int32)), pa.array(np.full(o, OFTEN, np.int32))],
-            [_signed(gram[on]), _signed(context(nodes)), _signed(gram[often])],
-            [pa.array(c[on]), pa.array(total[kept]), pa.array(c[often])],
-            [pa.array(np.log10(p) - np.log10(up_p[on]) - left[row[on]]), pa.array(left[kept]), none(o, pa.float64())],
-            [pa.array(p), none(k, pa.float64()), none(o, pa.float64())],
-            [none(m, pa.int64()), _signed(nodes), none(o, pa.int64())],
+        found = [
+            (GRAM, {"key": gram[on], "uses": c[on], "score": np.log10(p) - np.log10(up_p[on]) - left[row[on]], "p": p}),
+            (NODE, {"key": context(nodes), "uses": total[kept], "score": left[kept], "node": nodes}),
+            (OFTEN, {"key": gram[often], "uses": c[often]}),
         ]
-        return pa.table([pa.chunked_array(x) for x in columns], names=LEVEL.names)
+        out = []
+        for kind, columns in found:
+            rows = _dealt(columns["key"], parts, columns)
+            rows = rows.append_column("kind", pa.array(np.full(rows.num_rows, kind, np.int32)))
+            for c in ("score", "p", "node"):
+                if c not in columns:
+                    rows = rows.append_column(c, pa.nulls(rows.num_rows, pa.binary()))
+            out.append(rows.select(["to", "kind", "key", "uses", "score", "p", "node"]))
+        return pa.concat_tables(out)
 
     return run
 
 
 def _contexts(docs: DataFrame, depth: int, suffixes, least: int, parts: int) -> DataFrame:
-    """Contexts of that many words that were seen ``least`` times and whose suffix is in the filter."""
+    """(key): contexts of that many words that were seen ``least`` times and whose suffix is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _opened(suffixes.value)
@@ -267,42 +310,86 @@ def _contexts(docs: DataFrame, depth: int, suffixes, least: int, parts: int) ->
         ctx, c = _gathered(table, ctx="<u8", c="<u4")
         order = np.argsort(ctx)
         first = _first(ctx[order])
-        return pa.table({"ctx": _signed(ctx[order][first][np.add.reduceat(c[order].astype(np.int64), first) >= least])})
-
-    return docs.mapInArrow(run, "to int, ctx binary, c binary").repartition(parts, "to").groupBy("to").applyInArrow(summed, "ctx long")
-
-
-def learn(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, depth: int | None = 2) -> tuple[DataFrame, int, int, int]:
-    """Table of weights (key, uses, known, base, score), training tokens, distinct ones and the depth of the tree. ``docs`` has the text as ``TEXT``."""
-    words = materialize(_words(docs), "words")
-    parts = max(8, min(20_000, 2 * partitions_of(docs)))
-    r = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(r["n"]), int(r["v"])
-    root = words.withColumn("p", (F.col("c") + FIRST) / F.lit(n + FIRST * (v + 1)))
-    table = root.select(F.col("w").alias("key"), F.col("c").alias("uses"), F.lit(1).cast("long").alias("known"), F.log10("p").alias("base"), F.log10("p").alias("score"))
-    lower, built = root.select(F.col("w").alias("key"), "p"), 0
-    wanted, suffixes = _shared(docs, words.where(F.col("c") >= least).select("w")), None
-    while depth is None or built < depth:
-        found = _grams(docs, built + 1, wanted, suffixes, parts).unionByName(lower.withColumn("to", F.pmod("key", F.lit(parts)).cast("int")), allowMissingColumns=True)
-        found = found.repartition(parts, "to").groupBy("to").applyInArrow(_summed(built + 1, parts), "to int, ctx binary, gram binary, c binary, up_p binary")
-        level = materialize(found.repartition(parts, "to").groupBy("to").applyInArrow(_tested(built + 1, alpha, least, gain), LEVEL), f"level{built + 1}")
+        return pa.table({"key": [ctx[order][first][np.add.reduceat(c[order].astype(np.int64), first) >= least].tobytes()]})
+
+    return docs.mapInArrow(run, "to int, ctx binary, c binary").repartition(parts, "to").groupBy("to").applyInArrow(summed, "key binary")
+
+
+def learn(docs: DataFrame, parts: int, alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, depth: int | None = 2) -> tuple[list[DataFrame], int, int]:
+    """Levels from the root on (rows of LEVEL), training tokens and distinct ones. ``docs`` has the text as ``TEXT``."""
+    words = materialize(_words(docs, parts), "words")
+    r = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("v")).first()
+    n, v = int(r["n"]), int(r["v"]) // 8
+    levels = [_root(words, n, v)]
+    wanted, suffixes = _shared(_often(words, least), "key"), None
+    while depth is None or len(levels) <= depth:
+        at = len(levels)
+        lower = levels[-1].where(F.col("kind").isin(WORD, GRAM)).select("to", "key", "p")
+        found = _grams(docs, at, wanted, suffixes, parts).unionByName(lower, allowMissingColumns=True)
+        found = found.repartition(parts, "to").groupBy("to").applyInArrow(_summed(at, parts), "to int, ctx binary, gram binary, c binary, up_p binary")
+        level = materialize(found.repartition(parts, "to").groupBy("to").applyInArrow(_tested(at, alpha, least, gain, parts), LEVEL), f"level{at}")
         wanted.destroy()
         if suffixes:
             suffixes.destroy()
-        nodes = level.where(F.col("kind") == NODE).select("node")
+        nodes = level.where(F.col("kind") == NODE)
         if nodes.isEmpty():
+            release(level)
             break
-        built += 1
-        table = table.unionByName(level.where(F.col("kind") != OFTEN).select("key", "uses", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score"))
-        if built == depth:
+        levels.append(level)
+        if len(levels) - 1 == depth:
             break
-        lower = level.where(F.col("kind") == GRAM).select("key", "p")
         # contexts of one word more: seen often, and a kept context without their first word; of two words the grams
         # of the first level tell, of more they need not be there (their first words may be no kept context)
-        suffixes = _shared(docs, nodes)
-        more = level.where((F.col("kind") != NODE) & (F.col("uses") >= least)).select("key") if built == 1 else _contexts(docs, built + 1, suffixes, least, parts)
-        wanted = _shared(docs, more)
-    return table, n, v, built
+        suffixes = _shared(nodes, "node")
+        more = _often(level.where(F.col("kind") != NODE), least) if at == 1 else _contexts(docs, at + 1, suffixes, least, parts)
+        wanted = _shared(more, "key")
+    return levels, n, v
+
+
+def _most_used(table: DataFrame, hot: int) -> np.ndarray:
+    """The ``hot`` most used keys in order of key: (key, kind, score). Each task gives its own first."""
+    if not hot:
+        return np.empty(0, [("key", "<i8"), ("kind", "<i4"), ("score", "<f8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.empty(0, "<u8"), np.empty(0, "<i8"), np.empty(0, "<f8"), np.empty(0, "<i4")]
+        for batch in batches:
+            mine = _gathered(batch, key="<u8", uses="<i8", score="<f8")
+            sizes = np.array([len(x) // 8 for x in batch.column("key").to_pylist()], np.int64)
+            mine.append(np.repeat(batch.column("kind").to_numpy().astype("<i4"), sizes))
+            both = [np.concatenate([x, y]) for x, y in zip(best, mine, strict=True)]
+            order = np.lexsort((both[0].view(np.int64), -both[1]))[:hot]
+            best = [x[order] for x in both]
+        key, uses, score, kind = best
+        for at in range(0, len(key), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            yield pa.RecordBatch.from_arrays([_signed(key[part]), pa.array(uses[part]), pa.array(score[part]), pa.array(kind[part])], names=["key", "uses", "score", "kind"])
+
+    rows = table.select("kind", "key", "uses", "score").mapInArrow(run, "key long, uses long, score double, kind int")
+    top = rows.orderBy(F.desc("uses"), "key").limit(hot).select("key", "kind", "score").toPandas().sort_values("key")
+    return top.to_records(index=False, column_dtypes={"key": "<i8", "kind": "<i4", "score": "<f8"})
+
+
+def _weighed(unknown: float):
+    def run(table: pa.Table) -> pa.Table:
+        """(row, k, b, s): sums over the keys of each row that are gathered here."""
+        weights = table.filter(pc.is_valid(table.column("kind")))
+        key, score = _gathered(weights, key="<u8", score="<f8")
+        sizes = np.array([len(x) // 8 for x in weights.column("key").to_pylist()], np.int64)
+        word = np.repeat(weights.column("kind").to_numpy() == WORD, sizes)
+        order = np.argsort(key)
+        key, score, word = key[order], score[order], word[order]
+        row, want, times, first = _gathered(table, row="<i8", want="<u8", times="<u4", word="<u1")
+        at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
+        known = key[at] == want if len(key) else np.zeros(len(want), bool)
+        own = np.where(first > 0, unknown, 0.0)
+        s = own if not len(key) else np.where(known, score[at], own)
+        root = known & word[at] if len(key) else known
+        rows, of = np.unique(row, return_inverse=True)
+        sums = [np.bincount(of, times * x, len(rows)) for x in (root, np.where(root | (first > 0), s, 0.0), s)]
+        return pa.table({"row": rows, "k": sums[0].astype(np.int64), "b": sums[1].astype(float), "s": sums[2].astype(float)})
+
+    return run
 
 
 def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, hot: int = HOT, depth: int | None = 2) -> DataFrame:
@@ -314,63 +401,75 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
     ``depth`` words; with None, as many as pass the test.
     """
     spark = docs.sparkSession
+    parts = max(8, min(20_000, 2 * partitions_of(docs)))
     fold = F.coalesce(held_out, F.lit(False))
     chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fold.alias("held_out"), F.col(f"`{text}`").cast("string").alias(TEXT))
-    table, n, v, depth = learn(chosen.where(~F.col("held_out")), alpha, least, gain, depth)
+    levels, n, v = learn(chosen.where(~F.col("held_out")), parts, alpha, least, gain, depth)
+    depth = len(levels) - 1
     unknown = float(np.log10(FIRST / (n + FIRST * (v + 1))))
-    top = table.orderBy(F.desc("uses"), "key").limit(hot).toPandas().sort_values("key")
-    shared = spark.sparkContext.broadcast((_filter(table.select("key")), *[top[c].to_numpy() for c in ("key", "known", "base", "score")]))
-    long, double = T.LongType(), T.DoubleType()
-    out = T.StructType([T.StructField("row", long), chosen.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, t) for c, t in (("n_tokens", long), ("n_known", long), ("base", double), ("score", double), ("key", long), ("times", long), ("word", T.BooleanType()))]])
+    table = reduce(DataFrame.unionByName, levels).where(F.col("kind") != OFTEN)
+    shared = spark.sparkContext.broadcast((zlib.compress(_filter(table, "key").tobytes(), 1), _most_used(table, hot)))
+    kinds = {"row": "<i8", "want": "<u8", "times": "<u4", "word": "<u1"}
+    head = [T.StructField("id", T.LongType()), chosen.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()))]]
+    out = T.StructType([*head, T.StructField("to", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in kinds]])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, keys, known, base, score = shared.value
+        bits, top = _opened(shared.value[0]), shared.value[1]
         following = TaskContext.get().partitionId() << 40
         for rows, data, offs in X.blocks(batches, TEXT):
             w, to = tokens(data, offs)
             m = rows.num_rows
             row = X.row_of(to)
-            key, of, word = [w], [row], [np.ones(len(w), bool)]
+            known, base, score = np.zeros(m), np.zeros(m), np.zeros(m)
+            rest = []
+
+            def settle(key, of, word):
+                """Adds what the filter and the most used keys say; the other keys wait."""
+                may = _in(bits, key)
+                if word:
+                    lost = np.bincount(of[~may], minlength=m) * unknown
+                    base[:] += lost
+                    score[:] += lost
+                key, of = key[may].view(np.int64), of[may]
+                at = np.minimum(np.searchsorted(top["key"], key), max(0, len(top) - 1))
+                hit = top["key"][at] == key if len(top) else np.zeros(len(key), bool)
+                mine, own = of[hit], top[at[hit]]
+                root = own["kind"] == WORD
+                known[:] += np.bincount(mine, root, m)
+                base[:] += np.bincount(mine, np.where(root, own["score"], 0.0), m)
+                score[:] += np.bincount(mine, own["score"], m)
+                key, of = key[~hit], of[~hit]
+                order = np.lexsort((key, of))
+                key, of = key[order], of[order]
+                first = _first(key, of) if len(key) else np.empty(0, np.int64)
+                rest.append((of[first] + following, key[first], np.diff(np.append(first, len(key))), np.full(len(first), word)))
+
+            settle(w, row, True)
             for place, ctx, gram in grams(w, to, depth):
-                key += [context(ctx), gram]
-                of += [row[place]] * 2
-                word += [np.zeros(len(place), bool)] * 2
-            key, of, word = np.concatenate(key), np.concatenate(of), np.concatenate(word)
-            may = _in(bits, key)
-            lost = np.bincount(of[word & ~may], minlength=m) * unknown
-            key, of, word = key[may].view(np.int64), of[may], word[may]
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            mine, at = of[hit], at[hit]
-            sums = [np.bincount(mine, x[at], m) for x in (known, base, score)]
-            key, of, word = key[~hit], of[~hit], word[~hit]
-            order = np.lexsort((key, of))
-            key, of, word = key[order], of[order], word[order]
-            first = np.flatnonzero((np.diff(key, prepend=0) != 0) | (np.diff(of, prepend=-1) != 0))
-            times = np.diff(np.append(first, len(key)))
-            extra = len(first)
-            heads = np.arange(m) + following
+                settle(context(ctx), row[place], False)
+                settle(gram, row[place], False)
             none = pa.nulls
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(heads), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(to)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1] + lost), pa.array(sums[2] + lost), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.bool_())],
-                schema=arrow,
-            )
-            if extra:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(of[first] + following), none(extra, arrow.field("doc_id").type), none(extra, pa.bool_()), none(extra, pa.int64()), none(extra, pa.int64()), none(extra, pa.float64()), none(extra, pa.float64()), pa.array(key[first]), pa.array(times), pa.array(word[first])],
-                    schema=arrow,
-                )
+            values = [pa.array(np.arange(m) + following), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(to)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([*values, none(m, pa.int32()), *[none(m, pa.binary())] * 4], schema=arrow)
+            of, key, times, word = (np.concatenate(x) for x in zip(*rest, strict=True))
+            if len(of):
+                dealt = _dealt(key, parts, {c: x.astype(t) for (c, t), x in zip(kinds.items(), (of, key.view(np.uint64), times, word), strict=True)})
+                for c, f in zip(arrow.names[: len(head)], arrow, strict=False):
+                    dealt = dealt.append_column(c, none(dealt.num_rows, f.type))
+                yield from dealt.select(arrow.names).cast(arrow).to_batches()
             following += m
 
     # written once: row numbers are those of one run of each task
     passed = materialize(chosen.mapInArrow(run, out), "scored")
-    heads = passed.where("key is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    rest = passed.where("key is not null").select("row", "key", "times", "word").join(table.select("key", F.col("known").alias("k"), F.col("base").alias("b"), F.col("score").alias("s")), "key", "left")
-    miss = F.when(F.col("word"), F.lit(unknown)).otherwise(F.lit(0.0))
-    rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("k", F.lit(0))).alias("k"), F.sum(F.col("times") * F.coalesce("b", miss)).alias("b"), F.sum(F.col("times") * F.coalesce("s", miss)).alias("s"))
+    shared.destroy()
+    heads = passed.where("to is null").select(*[f.name for f in head])
+    rest = passed.where("to is not null").select("to", *kinds).unionByName(table.select("to", "kind", "key", "score"), allowMissingColumns=True)
+    rest = rest.repartition(parts, "to").groupBy("to").applyInArrow(_weighed(unknown), "row long, k long, b double, s double")
+    rest = materialize(rest.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s")), "rest")
+    release(*levels[1:])
     zero = F.lit(0.0)
-    return heads.join(rest, "row", "left").select(
+    return heads.join(rest, F.col("id") == F.col("row"), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
