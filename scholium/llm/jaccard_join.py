@@ -210,7 +210,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, bits: int, sketch, buckets:
         rare = sketch.value
         for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
             parts = []
-            for lo, hi in _slices(offs, X.BLOCK):
+            for lo, hi in X.slices(offs, X.BLOCK):
                 d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 h, so = shingle_sets(X.LOWER[d], o, k)
                 d1, d2 = digests(h, so)
@@ -230,14 +230,6 @@ def _prefixes(docs: DataFrame, k: int, percent: int, bits: int, sketch, buckets:
     return docs.mapInArrow(run, "bucket int, entries binary")
 
 
-def _slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    lo, n = 0, len(offs) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
 def meetings(e: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For entries sorted by n-gram and class, each once: which of them meet another, the entry that leads each, and which share their n-gram with many.
 

@@ -48,12 +48,16 @@ FIRST = 0.1  # added to every count of the root
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of each row and one end behind them; rows' offsets."""
-    data = X.LOWER[data]
-    s, e, wo = X.words(data, offs)
-    out = np.full(len(s) + len(offs) - 1, END, np.uint64)
-    out[np.arange(len(s)) + X.row_of(wo)] = X.word_hashes(data, s, e)
-    return out, wo + np.arange(len(wo))
+    """Hashes of the lower-cased words of each row and one end behind them; rows' offsets. Bytes are hashed some rows at a time."""
+    parts, ends = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for lo, hi in X.slices(offs, X.BLOCK >> 2):
+        low = X.LOWER[data[offs[lo] : offs[hi]]]
+        s, e, wo = X.words(low, offs[lo : hi + 1] - offs[lo])
+        out = np.full(len(s) + hi - lo, END, np.uint64)
+        out[np.arange(len(s)) + X.row_of(wo)] = X.word_hashes(low, s, e)
+        ends.append((wo + np.arange(len(wo)))[1:] + ends[-1][-1])
+        parts.append(out)
+    return np.concatenate(parts), np.concatenate(ends)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,7 +136,7 @@ def _words(docs: DataFrame, parts: int) -> DataFrame:
     """(to, key, uses, total): words packed with their counts, and the sum of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
+        for _, data, offs in X.blocks(batches, TEXT, 2 * X.BLOCK):
             w, _ = tokens(data, offs)
             at, n = _counted(w)
             yield from _dealt(w[at], parts, {"key": w[at], "c": n.astype("<u4")}).to_batches()
@@ -209,7 +213,7 @@ def _grams(docs: DataFrame, depth: int, wanted, suffixes, parts: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lower = _opened(wanted.value), suffixes and _opened(suffixes.value)
-        for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
+        for _, data, offs in X.blocks(batches, TEXT, 2 * X.BLOCK):
             w, to = tokens(data, offs)
             place, ctx, gram = deque(grams(w, to, depth), 1)[0]
             on = _in(bits, ctx)
@@ -238,6 +242,7 @@ def _last(w: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
 def _summed(depth: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         """(to, ctx, gram, c, up_p): grams summed, with the probability of the one a word shorter; those without go, as its context is not kept."""
+        X.give_back()
         key, p = _gathered(table, key="<u8", p="<f8")
         order = np.argsort(key)
         key, p = key[order], p[order]
@@ -258,6 +263,7 @@ def _tested(depth: int, alpha: float, least: int, gain: float, parts: int):
     def run(table: pa.Table) -> pa.Table:
         """Of the contexts that pass the test the context itself (NODE: what it leaves to its suffix) and its grams (GRAM: the rest
         of their weight, and their probability); of depth 1 the other grams seen ``least`` times as well (OFTEN)."""
+        X.give_back()
         ctx, gram, c, up_p = _gathered(table, ctx="<u8", gram="<u8", c="<i8", up_p="<f8")
         order = np.argsort(ctx, kind="stable")
         ctx, gram, c, up_p = ctx[order], gram[order], c[order], up_p[order]
@@ -298,7 +304,7 @@ def _contexts(docs: DataFrame, depth: int, suffixes, least: int, parts: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _opened(suffixes.value)
-        for _, data, offs in X.blocks(batches, TEXT, 4 * X.BLOCK):
+        for _, data, offs in X.blocks(batches, TEXT, 2 * X.BLOCK):
             w, to = tokens(data, offs)
             place, ctx, _ = deque(grams(w, to, depth), 1)[0]
             ctx = ctx[_in(bits, _last(w, place, depth))]
@@ -373,6 +379,7 @@ def _most_used(table: DataFrame, hot: int) -> np.ndarray:
 def _weighed(unknown: float):
     def run(table: pa.Table) -> pa.Table:
         """(row, k, b, s): sums over the keys of each row that are gathered here."""
+        X.give_back()
         weights = table.filter(pc.is_valid(table.column("kind")))
         key, score = _gathered(weights, key="<u8", score="<f8")
         sizes = np.array([len(x) // 8 for x in weights.column("key").to_pylist()], np.int64)

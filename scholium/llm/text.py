@@ -106,6 +106,15 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         give_back()
 
 
+def slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole rows of about ``limit`` bytes."""
+    lo, n = 0, len(offs) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the rows' offsets into them."""
     inside = ~WS[data]
