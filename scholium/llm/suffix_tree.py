@@ -432,7 +432,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
             rest = []
 
             def settle(key, of, word):
-                """Adds what the filter and the most used keys say; the other keys wait."""
+                """Adds what the filter and the most used keys say; the other keys wait. Gives those that may be in the tree."""
                 may = _in(bits, key)
                 if word:
                     lost = np.bincount(of[~may], minlength=m) * unknown
@@ -451,11 +451,23 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
                 key, of = key[order], of[order]
                 first = _first(key, of) if len(key) else np.empty(0, np.int64)
                 rest.append((of[first] + following, key[first], np.diff(np.append(first, len(key))), np.full(len(first), word)))
+                return may
 
-            settle(w, row, True)
+            seen = settle(w, row, True)  # tokens whose last gram may be in the tree, and then those whose context may
+            kept = np.ones(len(w), bool)
             for place, ctx, gram in grams(w, to, depth):
-                settle(context(ctx), row[place], False)
-                settle(gram, row[place], False)
+                # a context is only kept with its suffix, and a gram only seen with that of one word less
+                on = kept[place]
+                place, ctx, gram = place[on], ctx[on], gram[on]
+                may = settle(context(ctx), row[place], False)
+                place, gram = place[may], gram[may]
+                kept[:] = False
+                kept[place] = True
+                on = seen[place]
+                place, gram = place[on], gram[on]
+                may = settle(gram, row[place], False)
+                seen[:] = False
+                seen[place[may]] = True
             none = pa.nulls
             values = [pa.array(np.arange(m) + following), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(to)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*values, none(m, pa.int32()), *[none(m, pa.binary())] * 4], schema=arrow)
