@@ -48,11 +48,10 @@ def year(text: Column) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    """ISO dates as they are; English month names, slashes and dots; else the year; else null."""
-    day, month = "yyyy-MM-dd", "yyyy-MM"
-    known = [("MMMM d, yyyy", day), ("d MMMM yyyy", day), ("MMMM yyyy", month), ("MM/dd/yyyy", day), ("yyyy/MM/dd", day)]
-    iso = F.nullif(F.regexp_extract(text, r"^\d{4}-\d{2}(-\d{2})?", 0), F.lit(""))
-    return F.coalesce(iso, *[F.date_format(F.try_to_timestamp(F.trim(text), F.lit(f)), out) for f, out in known], year(text))
+    """YYYY, YYYY-MM or YYYY-MM-DD as they are; English month names, long or short, with or without a day; else the year; else null."""
+    t = F.trim(text)
+    known = [("MMMM yyyy", "yyyy-MM"), ("MMM yyyy", "yyyy-MM"), ("MMMM d, yyyy", "yyyy-MM-dd"), ("MMM d, yyyy", "yyyy-MM-dd"), ("d MMMM yyyy", "yyyy-MM-dd"), ("d MMM yyyy", "yyyy-MM-dd")]
+    return F.coalesce(F.when(t.rlike(r"^\d{4}(-\d{2}){0,2}$"), t), *[F.date_format(F.try_to_timestamp(t, F.lit(f)), out) for f, out in known], year(t))
 
 
 def normal_url(text: Column) -> Column:
@@ -83,6 +82,11 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1))
 
 
+def token_precision(a: Column, b: Column) -> Column:
+    """Share of the first token set that the second has: both empty 1, one empty 0."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of two token sets: both empty 1, one empty 0."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))

@@ -28,9 +28,9 @@ def composites(cells: DataFrame) -> DataFrame:
 
 
 def leaderboard(cells: DataFrame) -> DataFrame:
-    """Composites with rank; a rank is taken over one row a system."""
-    w = Window.orderBy(F.desc("composite"), "system")
-    return composites(cells).withColumn("position", F.row_number().over(w)).withColumn("is_best", F.round("composite", 3) == F.max(F.round("composite", 3)).over(Window.partitionBy()))
+    """Composites with rank, 1 and the number of strictly greater ones; taken over one row a system."""
+    w = Window.orderBy(F.desc("composite"))
+    return composites(cells).withColumn("position", F.rank().over(w)).withColumn("is_best", F.round("composite", 3) == F.max(F.round("composite", 3)).over(Window.partitionBy()))
 
 
 def micro(cells: DataFrame) -> DataFrame:
@@ -45,19 +45,20 @@ def field_pivot(cells: DataFrame, systems: list[str]) -> DataFrame:
     return wide
 
 
-def discordant(cells: DataFrame) -> DataFrame:
-    """McNemar counts of all pairs of systems over common cells, with the corrected chi square; right means score 1.
+def discordant(cells: DataFrame, right: float = 1.0) -> DataFrame:
+    """McNemar counts of all pairs of systems over common cells, with the corrected chi square (|x - y| - 1)^2 / (x + y), 0 without
+    discordant cells; right means a score of at least ``right``.
 
     The systems of a cell meet in one array, so cells move once; arrays are as long as there are systems.
     """
     marks = cells.groupBy("paper", "field").agg(F.array_sort(F.collect_list(F.struct("system", "score"))).alias("m"))
     one = marks.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    right_a, right_b = F.col("a.score") == 1, F.col("b.score") == 1
+    right_a, right_b = F.col("a.score") >= right, F.col("b.score") >= right
     n = one.groupBy(F.col("a.system").alias("system_a"), F.col("b.system").alias("system_b")).agg(
         F.count("*").alias("n"), F.count_if(right_a & ~right_b).alias("only_a"), F.count_if(~right_a & right_b).alias("only_b"), F.round(F.avg(F.col("a.score") - F.col("b.score")), 6).alias("delta")
     )
     x, y = F.col("only_a"), F.col("only_b")
-    return n.withColumn("chi2", F.round(F.when(x + y == 0, 0.0).otherwise(F.pow(F.greatest(F.abs(x - y) - 1, F.lit(0)), 2.0) / (x + y)), 6))
+    return n.withColumn("chi2", F.round(F.when(x + y == 0, 0.0).otherwise(F.pow(F.abs(x - y) - 1.0, F.lit(2.0)) / (x + y)), 6))
 
 
 def bootstrap(cells: DataFrame, rounds: int = 2000, seed: int = 42) -> DataFrame:

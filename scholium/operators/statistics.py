@@ -40,11 +40,29 @@ def krippendorff_nominal(votes: DataFrame, unit: str, value: str) -> DataFrame:
 
 
 def majority(votes: DataFrame, unit: str, value: str) -> DataFrame:
-    """Most frequent value of each unit, ``tie`` where two share the place (then the least of them)."""
+    """Most frequent value of each unit; none where two share the place (``tie``) or there are under two votes."""
     c = vote_counts(votes, unit, value)
     best = c.groupBy(unit).agg(F.max(F.struct(F.col("c"))).alias("top"), F.sum("c").alias("n_votes"))
     both = c.join(best, unit).where(F.col("c") == F.col("top.c"))
-    return both.groupBy(unit).agg(F.min(value).alias("winner"), F.first("n_votes").alias("n_votes"), F.max("c").alias("n_winner"), (F.count("*") > 1).alias("tie"))
+    return both.groupBy(unit).agg(F.when((F.count("*") == 1) & (F.first("n_votes") > 1), F.min(value)).alias("winner"), F.first("n_votes").alias("n_votes"), F.max("c").alias("n_winner"), (F.count("*") > 1).alias("tie"))
+
+
+# A rational form of erfc, good to 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0; erfc(sqrt(c / 2)) is the tail of chi square with one degree of freedom."""
+    t = 1.0 / (1.0 + 0.5 * x)
+    inner = F.lit(0.0)
+    for c in reversed(ERFC):
+        inner = c + t * inner
+    return t * F.exp(-x * x + inner)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p value of a normal score."""
+    return F.least(F.lit(1.0), erfc(F.abs(z) / 2**0.5))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, order: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from scholium import catalogue
+from scholium import plans as catalogue
 from scholium.functions import scalars as S
 from scholium.operators import contamination, scoring, selection, statistics
 
@@ -43,7 +43,7 @@ def column(spark, values, f, kind="string"):
 
 def test_scalars(spark):
     assert column(spark, ["MIT License", "cc-by-sa 4.0", "CC BY 4.0", "Creative Commons Attribution NonCommercial 4", "admit", None], S.spdx) == ["MIT", "CC-BY-SA-4.0", "CC-BY-4.0", "CC-BY-NC-4.0", None, None]
-    assert column(spark, ["March 5, 2021", "05/06/2020", "May 2019", "2018-01-02T03", "in 1999.", "none"], S.iso_date) == ["2021-03-05", "2020-05-06", "2019-05", "2018-01-02", "1999", None]
+    assert column(spark, ["March 5, 2021", "05/06/2020", "May 2019", "2018-01-02T03", "in 1999.", "none", "Nov 18, 2021", "18 Nov 2021", "Nov 2021", "1850", "2020-04", "18 November 2021"], S.iso_date) == ["2021-03-05", "2020", "2019-05", "2018", "1999", None, "2021-11-18", "2021-11-18", "2021-11", "1850", "2020-04", "2021-11-18"]
     assert column(spark, ["HTTPS://a.b/c//", None], S.normal_url) == ["a.b/c", None]
     assert column(spark, [" Yes", "0", "Maybe"], S.normal_boolean) == ["true", "false", "maybe"]
     assert column(spark, [None, " N/A ", "x"], S.is_null_text) == [True, True, False]
