@@ -1,6 +1,6 @@
 """All queries of the library beside the training-data operators, and the SQL that each is held against."""
 
 from scholium.catalogue import FLAGSHIP, ORACLE_SQL, QUERIES
-from scholium.plans import values
+from scholium.plans import gold, significance, structure, values
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "values"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "gold", "significance", "structure", "values"]
