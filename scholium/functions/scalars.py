@@ -72,10 +72,15 @@ def gram_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda x: x != "")
 
 
+def slices(words: Column, n: int) -> Column:
+    """The n words of every place; none if there are fewer (a sequence to a smaller end would count down)."""
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.slice(words, i, n))
+    return F.filter(some, lambda g: F.size(g) == n)
+
+
 def grams(words: Column, n: int) -> Column:
-    """Distinct n-grams; none if there are fewer words (a sequence to a smaller end would count down)."""
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams as text."""
+    return F.array_distinct(F.transform(slices(words, n), lambda g: F.array_join(g, " ")))
 
 
 def token_set(text: Column) -> Column:
