@@ -1,6 +1,6 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-1. A bounded sample of vectors (``PIVOTS``, the first by a hash of their id) are the pivots; every vector belongs to
+1. A bounded sample of vectors (as many as the root of their number, within ``PIVOTS``, the first by a hash of their id) are the pivots; every vector belongs to
    the cell of its nearest pivot. Nothing but the work depends on which they are.
 2. Summaries of each cell (rows, least and greatest distance from its pivot) are all that the driver sees. With
    d = |x - p|, q . x lies within q . p - |q| d and q . p + |q| d: the nearest row of every cell bounds a query's k-th
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from scholium.llm.shared import materialize
 
-PIVOTS = 32
+#: Pivots: the root of the number of rows, within these bounds, so that cells grow as slowly as their number.
+PIVOTS = (32, 2048)
 CHUNK = 40_000
 BLOCK = 4_000_000
 #: Relative slack of the bounds against rounding.
@@ -137,22 +138,26 @@ def _solve(k: int):
     return run
 
 
-def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", by: int = 256, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", by: int = 256, pivots: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: for every query its k rows of highest inner product, ties to the smaller id.
 
     Components are floor(by * x). Rows whose id or vector is null, or whose vector holds a null or non-finite component,
-    take no part; a row with the query's own id is no candidate. Vectors of another length than the most frequent one
-    raise an error, as they have no product with the others. Rows that repeat an id under one vector count once. An empty
+    take no part; a row with the query's own id is no candidate. If vectors differ in length an error is raised, as they
+    have no product with one another. Rows that repeat an id under one vector count once. An empty
     table gives an empty result; other columns are not read.
     """
     out = "query_id long, vec_id long, score long"
     chosen = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`"), by).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = chosen.where("id is not null and v is not null and size(v) > 0")
+    if pivots is None:
+        pivots = int(min(max(rows.count() ** 0.5, PIVOTS[0]), PIVOTS[1]))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if len({len(r["v"]) for r in sample}) > 1:
+    dim = len(sample[0]["v"])
+    if any(len(r["v"]) != dim for r in sample):
         raise ValueError("vectors of different lengths")
+    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<double>")))
     places = np.unique(np.array([r["v"] for r in sample], float), axis=0)
     each = rows.groupBy("id", "v").agg(F.max("is_query").alias("is_query"))
     held = materialize(_cells(each, places), "cells")

@@ -159,6 +159,12 @@ class Member:
             self.end = self.f.tell() - len(self.z.unused_data) + 8
         return True
 
+    def trimmed(self, head: int) -> int:
+        """Bytes of a plain record's head with the empty lines before it."""
+        self.f.seek(self.at)
+        front = self.f.read(64)
+        return head + len(front) - len(front.lstrip(b"\r\n"))
+
     def skip(self, block: int, head: int) -> int:
         """Where the next member starts."""
         if self.plain:
@@ -170,49 +176,100 @@ class Member:
         return self.end if self.end is not None else self.f.tell()
 
 
+def length(headers: dict[str, str]) -> int | None:
+    """Bytes of a record's block; None if the header says no number."""
+    value = headers.get("content-length", "0") or "0"
+    return int(value) if value.isascii() and value.isdigit() else None
+
+
+def following(f, at: int) -> int | None:
+    """Where the next line that opens a record starts, from ``at`` on."""
+    f.seek(at)
+    held, base = b"", at
+    while more := f.read(1 << 16):
+        held += more
+        found = held.find(b"\nWARC/")
+        if found >= 0:
+            return base + found + 1
+        base += max(0, len(held) - 5)
+        held = held[-5:]
+    return None
+
+
 def records(f, wanted, payload: bool) -> Iterator[tuple[int, dict[str, str], dict[str, str], bytes | None]]:
-    """(offset, headers, HTTP headers, payload) of the records whose headers pass ``wanted``."""
+    """(offset, headers, HTTP headers, payload) of the records whose headers pass ``wanted``.
+
+    A member may hold one record or many. A record whose Content-Length is no number is left out, and what follows is read
+    from the next member or, where nothing is compressed, from the next line that opens a record. Where a member
+    cannot be inflated the file ends, with a record that has no type and one header, ``x-error``, so that it can be counted.
+    """
     at = 0
     while True:
         f.seek(at)
         try:
             m = Member(f, at)
-        except EOFError:
+        except (EOFError, struct.error):
             return
-        while (cut := m.buffer.find(b"\r\n\r\n")) < 0 and m.more(4096):
-            pass
-        if cut < 0 or not m.buffer.lstrip(b"\r\n").startswith(b"WARC/"):
-            if m.plain:
-                return
-            at = m.skip(0, 0)
-            continue
-        headers = parse_headers(m.buffer[:cut].lstrip(b"\r\n"))
-        size = int(headers.get("content-length", "0") or 0)
-        if wanted(headers):
-            http: dict[str, str] = {}
-            body: bytes | None = None
-            start = cut + 4
-            is_http = headers.get("content-type", "").replace(" ", "").startswith("application/http")
-            if is_http:
-                while (end := m.buffer.find(b"\r\n\r\n", start)) < 0 and len(m.buffer) < start + size and m.more(4096):
-                    pass
-                if 0 <= end < start + size:
-                    http = parse_headers(m.buffer[start:end])
-            if payload:
-                parts, have = [m.buffer], len(m.buffer)
-                while have < start + size:
+        here, alone = None, m.plain or m.end is not None
+        try:
+            while True:
+                m.buffer = m.buffer.lstrip(b"\r\n")
+                while (cut := m.buffer.find(b"\r\n\r\n")) < 0 and m.more(4096):
+                    m.buffer = m.buffer.lstrip(b"\r\n")
+                if cut < 0 or not m.buffer.startswith(b"WARC/"):
+                    here = None
+                    break
+                headers = parse_headers(m.buffer[:cut])
+                size, start = length(headers), cut + 4
+                here = size
+                if size is None:
+                    break
+                if wanted(headers):
+                    yield (at, *_block(m, headers, start, size, payload))
+                if alone:
+                    break
+                left = start + size  # a member without a stated length may go on
+                while left > len(m.buffer):
+                    left -= len(m.buffer)
                     m.buffer = b""
                     if not m.more():
                         break
-                    parts.append(m.buffer)
-                    have += len(m.buffer)
-                m.buffer = b"".join(parts)
-                skip = start
-                if is_http and 0 <= end < start + size:
-                    skip = end + 4
-                body = m.buffer[skip : start + size]
-            yield at, headers, http, body
-        at = m.skip(size, cut + 4)
+                m.buffer = m.buffer[left:]
+        except (zlib.error, EOFError) as e:
+            broken = {"x-error": str(e) or type(e).__name__}
+            if wanted(broken):
+                yield at, broken, {}, None
+            return
+        if not m.plain:
+            at = m.skip(0, 0)
+            continue
+        step = following(f, at) if here is None else at + m.trimmed(cut + 4) + here
+        if step is None:
+            return
+        at = step
+
+
+def _block(m: Member, headers: dict[str, str], start: int, size: int, payload: bool) -> tuple[dict[str, str], dict[str, str], bytes | None]:
+    """Headers, HTTP headers and, if asked for, payload of the record at the front of a member's buffer."""
+    http: dict[str, str] = {}
+    end = -1
+    is_http = headers.get("content-type", "").replace(" ", "").startswith("application/http")
+    if is_http:
+        while (end := m.buffer.find(b"\r\n\r\n", start)) < 0 and len(m.buffer) < start + size and m.more(4096):
+            pass
+        if 0 <= end < start + size:
+            http = parse_headers(m.buffer[start:end])
+    if not payload:
+        return headers, http, None
+    parts, have = [m.buffer], len(m.buffer)
+    while have < start + size:
+        m.buffer = b""
+        if not m.more():
+            break
+        parts.append(m.buffer)
+        have += len(m.buffer)
+    m.buffer = b"".join(parts)
+    return headers, http, m.buffer[end + 4 if 0 <= end < start + size else start : start + size]
 
 
 class WarcReader(DataSourceReader):
@@ -276,7 +333,7 @@ class WarcReader(DataSourceReader):
         for path in partition.files:
             with system.open_input_file(path) as raw:
                 for offset, headers, http, body in records(io.BufferedReader(raw, 1 << 18), self.wanted, "payload" in names):
-                    other = {"headers": lambda: list(headers.items()), "http_headers": lambda: list(http.items()), "content_length": lambda: int(headers.get("content-length", 0)), "payload": lambda: body, "file": lambda: path, "offset": lambda: offset}
+                    other = {"headers": lambda: list(headers.items()), "http_headers": lambda: list(http.items()), "content_length": lambda: length(headers), "payload": lambda: body, "file": lambda: path, "offset": lambda: offset}
                     for c, n in zip(rows, names, strict=True):
                         c.append(headers.get(HEADERS[n]) if n in HEADERS else other[n]())
                     held += len(body or b"") + 1000
@@ -387,7 +444,7 @@ def mark_revisits(pages: DataFrame, payload: str = "html", page_id: str = "page_
     row of a group has an id, and for rows that share the largest id, each is a response.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    groups = pages.select(F.col(page_id).cast("long").alias("__first"), body.alias("__body")).where(F.octet_length("__body") >= least).groupBy(F.sha1("__body").alias("__digest"), F.octet_length("__body").alias("__size")).agg(F.max("__first").alias("__first"), F.count("*").alias("__n")).where("__n > 1 and __first is not null").drop("__n").persist()
+    groups = pages.select(F.col(page_id).cast("long").alias("__first"), body.alias("__body")).where(F.octet_length("__body") >= least).groupBy(F.sha1("__body").alias("__digest"), F.octet_length("__body").alias("__size")).agg(F.max("__first").alias("__first"), F.count("*").alias("__n")).where("__n > 1 and __first is not null").drop("__n")
     keyed = pages.withColumn("payload", body)
     big = F.octet_length("payload") >= least
     keyed = keyed.withColumn("__digest", F.when(big, F.sha1("payload"))).withColumn("__size", F.octet_length("payload"))

@@ -77,3 +77,30 @@ def test_empty_table(spark):
     path = new_path(spark, "warc")
     warc.write_pages(spark.createDataFrame([], SCHEMA), path)
     assert warc.page_records(spark, path).count() == 0
+
+
+def record(kind, body, size=None, extra=""):
+    block = body.encode()
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nContent-Length: {len(block) if size is None else size}\r\n{extra}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def read_bytes(name, data, tmp_path):
+    (tmp_path / name).write_bytes(data)
+    with open(tmp_path / name, "rb") as f:
+        return [(h.get("warc-type"), b, "x-error" in h) for _, h, _, b in warc.records(f, lambda h: True, True)]
+
+
+def test_members_of_many_records_and_malformed_ones(tmp_path):
+    a, b, c, bad = record("response", "one"), record("metadata", "two" * 5000), record("resource", ""), record("response", "skipped", "12x")
+    whole = [("response", b"one", False), ("metadata", b"two" * 5000, False), ("resource", b"", False)]
+    assert read_bytes("one.warc.gz", gzip.compress(a + b + c), tmp_path) == whole
+    assert read_bytes("each.warc.gz", gzip.compress(a) + gzip.compress(b) + gzip.compress(c), tmp_path) == whole
+    assert read_bytes("plain.warc", a + b"\r\n" + b + c, tmp_path) == whole
+    assert read_bytes("bad.warc", a + bad + b + c, tmp_path) == whole
+    assert read_bytes("bad.warc.gz", gzip.compress(a) + gzip.compress(bad) + gzip.compress(b + c), tmp_path) == whole
+    packed = bytearray(gzip.compress(b))
+    packed[len(packed) // 2 : len(packed) // 2 + 20] = b"\xff" * 20
+    got = read_bytes("broken.warc.gz", gzip.compress(a) + bytes(packed) + gzip.compress(c), tmp_path)
+    assert got[0] == whole[0] and got[-1][2] and got[-1][0] is None
+    assert read_bytes("empty.warc", b"", tmp_path) == read_bytes("none.warc.gz", gzip.compress(b""), tmp_path) == read_bytes("junk.warc", b"no archive", tmp_path) == []
+    assert read_bytes("short.warc", a + b"WARC/1.1\r\nContent-Le", tmp_path) == whole[:1]
