@@ -68,6 +68,16 @@ def release(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Deletes on leaving what was written meanwhile, but for the tables appended to the list that it gives."""
+    before, keep = set(_written), []
+    yield keep
+    kept = {t._scholium_path for t in keep}
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)

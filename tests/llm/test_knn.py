@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scholium.llm.knn import voronoi_top_k, wanted
@@ -73,3 +74,16 @@ def test_bounds_leave_cells_out_but_none_that_is_needed():
     assert need.mean() < 0.7
     for q, n in zip(x[::7], need, strict=True):
         assert n[cell[np.argsort(-(x @ q))[:6]]].all()
+
+
+def test_vectors_of_different_lengths_raise(spark):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0], None) for i in range(50)] + [(60, [1.0, 2.0, 3.0], None), (61, [1.0, 2.0, 3.0, 4.0, 5.0], None)]
+    with pytest.raises(Exception, match="different lengths"):
+        voronoi_top_k(table(spark, rows), F.col("vec_id") % 10 == 0).collect()
+
+
+def test_one_pivot_and_many_give_the_same(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)], None) for i in range(300)] + [(5, [9.0, 9.0, 9.0, 9.0], None)] * 8
+    got = [sorted(tuple(r) for r in voronoi_top_k(table(spark, rows), F.col("vec_id") % 10 == 0, pivots=p, chunk=50).collect()) for p in (1, 7, None)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 150

@@ -143,3 +143,49 @@ def test_language_edge_cases(spark):
     assert language.language_of(cases.empty(spark), remainder("doc_id", 3) == 1).count() == 0
     unlabelled = cases.table(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.language_of(unlabelled, remainder("doc_id", 3) == 1).collect()} == {"und"}
+
+
+def plain_features(t):
+    """What classifier.features gives, character by character and word by word."""
+    import re
+
+    import zstandard
+
+    raw = t.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, size = len(words), max(len(raw), 1)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    symbol, plain = set(b"#*$%&|<>@^~=+_\\{}[]"), set(b".,;:'\"-!?()0123456789 \t\n\x0b\x0c\r")
+    if not n:
+        return [0.0] * 17 + [1.0]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    lines, seen, dup = raw.split(b"\n"), set(), 0
+    for line in lines:
+        if re.search(rb"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    again = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 5)}
+    ups = [sum(65 <= c <= 90 for c in w) for w in words]
+    letters = [sum(map(letter, w)) for w in words]
+    ratio = len(raw) / len(zstandard.ZstdCompressor(level=1).compress(raw))
+    return [
+        sum(c in symbol for c in raw) / size, sum(any(c in symbol for c in w) for w in words) / n, sum(ups) / max(sum(letters), 1), sum(u >= 2 and u >= 0.5 * k for u, k in zip(ups, letters, strict=True)) / n,
+        sum(48 <= c <= 57 for c in raw) / size, raw.count(b"!") / n, raw.count(b"|") / n, sum(not letter(c) and c not in plain for c in raw) / size, dup / len(lines), len(again) / n,
+        math.log(len(set(low))) / math.log(n + 1), max(low.count(w) for w in set(low)) / n, math.log(max(ratio, 0.1)) - 0.12 * math.log(size), math.log(max(sum(len(w.decode()) for w in words), 1) / n),
+        sum(len(w) > 40 for w in words) / n, math.log(n) / 10, sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, 0.0,
+    ]
+
+
+def test_features_and_scores_by_hand():
+    rng = random.Random(3)
+    texts = [t if t is not None and len(t) < 4000 else "" for t in cases.texts()] + [t for _, t, _ in junk_and_prose(30)] + ["A\nA\nb b b!! | x1 ###", "same " * 9]
+    rng.shuffle(texts)
+    got = classifier.features(*flat(texts))
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(got, want, atol=1e-9), [(classifier.NAMES[j], texts[i][:40], got[i, j], want[i, j]) for i, j in zip(*np.nonzero(~np.isclose(got, want, atol=1e-9)), strict=True)][:5]
+    y = (np.arange(len(texts)) % 3 > 0).astype(int)
+    m = classifier.fit(got, y, pairs=5000)
+    strength = [sum(w * min(8.0, max(-8.0, (x - a) / b)) for x, a, b, w in zip(row, m.mean, m.scale, m.w, strict=True)) for row in want]
+    score = [1 / (1 + math.exp(-min(40.0, max(-40.0, (s - m.shift) * m.slope + math.log(0.3 / 0.7))))) for s in strength]
+    assert np.allclose(m.score(got), score, atol=1e-6)

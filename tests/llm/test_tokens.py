@@ -106,3 +106,22 @@ def test_harmonic_classes_take_a_fixed_count():
     assert len(by) == 1000 // 19 and all(x == [205] * 19 for x in by.values())
     p.finish()
     assert sum(len(a[2]) for a in out) == 205_000
+
+
+def test_columns_with_the_names_of_results_give_way(spark):
+    from pyspark.sql import functions as F
+
+    from scholium.llm.byte_bpe import with_byte_bpe
+    from scholium.llm.packing import harmonic_pack
+    from scholium.llm.queries import vocabulary
+    from tests.llm import cases
+
+    docs = cases.table(spark)
+    odd = docs.withColumn("n_tokens", F.lit("mine")).withColumn("sequence_id", F.lit("mine")).withColumn("ids_sha256", F.lit("mine"))
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    a = with_byte_bpe(docs, path)
+    b = with_byte_bpe(odd, path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    assert sorted(b.columns) == sorted(a.columns) and sorted(map(str, b.select(*a.columns).collect())) == sorted(map(str, a.collect()))
+    path = vocabulary("word_bpe_49k.json")
+    assert sorted(map(str, harmonic_pack(odd, path).drop("sequence_id", "offset").collect())) == sorted(map(str, harmonic_pack(docs, path).drop("sequence_id", "offset").collect()))
+    assert harmonic_pack(cases.empty(spark), path).collect() == []
