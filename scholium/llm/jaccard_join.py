@@ -33,7 +33,7 @@ from scholium.llm.components import components
 from scholium.llm.rows import TEXT
 from scholium.llm.shared import materialize, partitions_of, release
 
-BITS = 25
+BITS = 24
 PART = 1 << 16
 #: Bits of the filter that says which classes are wanted; when it is too full it lets through more, never less.
 WANTED = 24

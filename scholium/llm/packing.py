@@ -218,7 +218,7 @@ def harmonic_pack(docs: DataFrame, path: str, text: str = "text", doc_id: str =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
         packer = Packer(emit, TaskContext.get().partitionId() << 33, capacity, least)
-        for block, data, offs in X.blocks(batches, TEXT):
+        for block, data, offs in X.blocks(batches, TEXT, X.BLOCK >> 2):
             flat, io = enc.encode(data, offs)
             io = io.tolist()
             for i, doc in enumerate(block.column("doc_id").to_pylist()):

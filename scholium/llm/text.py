@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 4 << 20
+#: Bytes hashed at once.
+PART = 1 << 18
 
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
@@ -131,7 +133,15 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return span(prefix(CODE[data]), s, e)
+    """Hashes of the words, some at a time, so that no sums over all bytes of a block are held."""
+    out = np.empty(len(s), np.uint64)
+    lo = 0
+    while lo < len(s):
+        first = int(s[lo])
+        hi = max(lo + 1, int(np.searchsorted(e, first + PART, "right")))
+        out[lo:hi] = span(prefix(CODE[data[first : int(e[hi - 1])]]), s[lo:hi] - first, e[lo:hi] - first)
+        lo = hi
+    return out
 
 
 def row_of(offs: np.ndarray) -> np.ndarray:
