@@ -6,8 +6,10 @@ A window of ``k`` consecutive words goes if its word sequence also starts in a d
    Consecutive windows of one key form a segment. Keys that only one document has need no search: the least and
    greatest document of every key, aggregated before the shuffle, set a bit in a filter of fixed size for each key of
    at least two documents (a filter that is too full lets through more, never less).
-2. Segments of such keys go to the shard of their key, a block's in one piece with their words in a dictionary; equal
-   segments count once, with their least document.
+2. Equal segments count once, with their least document. A key whose segments are all equal is settled by that: each of
+   its windows begins in that document first. The segments of the other keys go to the shard of their key, each from its
+   least document only (a filter of fixed size tells which these are; a full one sends some more), a block's in one piece
+   with their words in a dictionary. Shards are as many as these words need.
 3. Every shard builds an FM-index: Burrows-Wheeler transform of its segments in a wavelet matrix of packed bits with block
    counts. A symbol is a run of ``t`` words, the greatest divisor of k up to its root, and a segment is written ``t`` times,
    from its first, second, ... word on; a window is then k / t symbols that follow one another. Suffixes are ordered
@@ -28,20 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from scholium.llm import text as X
 from scholium.llm.rows import TEXT
-from scholium.llm.shared import materialize, partitions_of, release
+from scholium.llm.shared import materialize
 
 K = 50
 FILTER = 26
 #: Windows of a segment at most, and words of an index at most.
 SEGMENT = 256
 INDEX = 4_000_000
+#: Words of a shard, on average.
+SHARD = 400_000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -111,32 +115,60 @@ def _wanted_segments(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray
     """Segments of wanted keys, block by block: rows, words, rows' offsets, keys, digests, first words, windows and rows."""
     for rows, w, wo in _blocks(batches):
         g, first, n, row = segments(w, wo, k)
-        x = (g >> np.uint64(64 - FILTER)).astype(np.int64)
-        keep = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
+        keep = _has(bits, g)
         g, first, n, row = g[keep], first[keep], n[keep], row[keep]
         digest = X.span(X.prefix(X.mix(w ^ X.CODE[210])), first, first + n + k - 1)
         yield rows, w, wo, g, digest, first, n, row
 
 
 def _occurrences(docs: DataFrame, k: int, wanted) -> DataFrame:
-    """(g, digest, id, th, at): segments of wanted keys, and where they begin."""
+    """(g, digest, id, th, at, n): segments of wanted keys, where they begin and their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, wo, g, digest, first, _, row in _wanted_segments(batches, k, wanted.value):
+        for rows, _, wo, g, digest, first, n, row in _wanted_segments(batches, k, wanted.value):
             pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([_signed(g), _signed(digest), rows.column("id").take(pick), rows.column("th").take(pick), pa.array((first - wo[row]).astype(np.int64))], names=["g", "digest", "id", "th", "at"])
+            yield pa.RecordBatch.from_arrays([_signed(g), _signed(digest), rows.column("id").take(pick), rows.column("th").take(pick), pa.array((first - wo[row]).astype(np.int64)), pa.array(n.astype(np.int32))], names=["g", "digest", "id", "th", "at", "n"])
 
-    return docs.mapInArrow(run, "g long, digest long, id long, th long, at long")
+    return docs.mapInArrow(run, "g long, digest long, id long, th long, at long, n int")
+
+
+def _distinct(occ: DataFrame) -> DataFrame:
+    """(g, digest, n, lo, hi, alone): segments with their least and greatest document, and whether their key has no other segment."""
+    ends = occ.repartition("g").groupBy("g", "digest").agg(F.max("n").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    w = Window.partitionBy("g")
+    return ends.withColumn("alone", F.min("digest").over(w) == F.max("digest").over(w))
+
+
+def _sender(g: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Key of a segment in a document."""
+    return X.mix(X.mix(g ^ digest * X.CODE[212]) + doc * X.CODE[213])
+
+
+def _senders(ends: DataFrame) -> DataFrame:
+    """(g): keys of the segments in their least documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_signed(_sender(*(batch.column(c).to_numpy().view(np.uint64) for c in ("g", "digest", "lo"))))], names=["g"])
+
+    return ends.select("g", "digest", "lo").mapInArrow(run, "g long")
+
+
+def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    x = (key >> np.uint64(64 - FILTER)).astype(np.int64)
+    return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
 
 
 SEG = np.dtype([("g", "<i8"), ("digest", "<i8"), ("size", "<i8")])
 
 
-def _bodies(docs: DataFrame, k: int, wanted, shards: int) -> DataFrame:
-    """(shard, segs, dictionary, codes): segments of wanted keys, each once a block, with their words; a row per block and shard."""
+def _bodies(docs: DataFrame, k: int, wanted, senders, shards: int) -> DataFrame:
+    """(shard, segs, dictionary, codes): segments that their documents have to send, with their words; a row per block and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, _, g, digest, first, n, _ in _wanted_segments(batches, k, wanted.value):
+        for rows, w, _, g, digest, first, n, row in _wanted_segments(batches, k, wanted.value):
+            on = _has(senders.value, _sender(g, digest, rows.column("id").to_numpy()[row].view(np.uint64)))
+            g, digest, first, n = g[on], digest[on], first[on], n[on]
             shard = g.view(np.int64) % shards
             order = np.lexsort((digest, g, shard))
             new = np.ones(len(order), bool)
@@ -286,15 +318,16 @@ def _search(k: int):
             words.append(dictionary[np.frombuffer(c.as_buffer(), "<u2" if len(dictionary) <= 1 << 16 else "<u4")])
         segs, words = np.concatenate(segs), np.concatenate(words)
         start = np.cumsum(segs["size"]) - segs["size"]
-        order = np.lexsort((segs["digest"], segs["g"]))
-        x, y = segs["g"][order], segs["digest"][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        order = order[new]  # several blocks may send the same segment
-        by = np.lexsort((digest, g))
-        lo, hi, g, digest = lo[by], hi[by], g[by], digest[by]
-        if not (np.array_equal(g, segs["g"][order]) and np.array_equal(digest, segs["digest"][order])):
+        # the segments of both sides, side by side; a full filter lets some through that are not asked for, and blocks may send the same
+        both_g, both_digest = np.concatenate([segs["g"], g]), np.concatenate([segs["digest"], digest])
+        side = np.repeat([0, 1], [len(segs), len(g)])
+        by = np.lexsort((side, both_digest, both_g))
+        x, y, side = both_g[by], both_digest[by], side[by]
+        at = np.flatnonzero((x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (side[1:] > side[:-1]))
+        order, by = by[at], by[at + 1] - len(segs)
+        if len(order) != len(g):
             raise ValueError("segments and their documents do not agree")
+        lo, hi, g, digest = lo[by], hi[by], g[by], digest[by]
         size = segs["size"][order]
         m = least_documents(words[X.ragged(start[order], size)], size, lo, k) if len(order) else np.empty(0, np.int64)
         n = size - k + 1
@@ -317,12 +350,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     known = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(body).alias("th"), body.alias(TEXT)).where("id is not null")
     wanted = spark.sparkContext.broadcast(_filter(_keys(known, k)))
     occ = materialize(_occurrences(known, k, wanted), "occurrences")
-    ends = occ.groupBy("g", "digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    buckets = max(8, min(20_000, 2 * partitions_of(known)))
+    ends = materialize(_distinct(occ), "segments")
+    several = ends.where(~F.col("alone"))
+    words = several.agg(F.coalesce(F.sum(F.col("n") + (k - 1)), F.lit(0)).alias("n")).first()["n"]
+    senders = spark.sparkContext.broadcast(_filter(_senders(several)))
+    buckets = max(8, min(20_000, -(-words // SHARD)))
     # words go straight to their shard, beside the least and greatest document of each segment
-    shards = _bodies(known, k, wanted, buckets).unionByName(ends.withColumn("shard", F.pmod("g", F.lit(buckets))), allowMissingColumns=True)
+    shards = _bodies(known, k, wanted, senders, buckets).unionByName(several.select(F.pmod("g", F.lit(buckets)).alias("shard"), "g", "digest", "lo", "hi"), allowMissingColumns=True)
     runs = materialize(shards.repartition(buckets, "shard").groupBy("shard").applyInArrow(_search(k), "g long, digest long, s long, e long, m long"), "runs")
     wanted.destroy()
+    senders.destroy()
+    runs = runs.unionByName(ends.where("alone and lo < hi").select("g", "digest", F.lit(0).cast("long").alias("s"), F.col("n").cast("long").alias("e"), F.col("lo").alias("m")))
     met = occ.join(runs, ["g", "digest"]).where("id > m")
     return met.select("id", "th", (F.col("at") + F.col("s")).alias("start"), (F.col("at") + F.col("e") + (k - 1)).alias("end"))
 

@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from scholium.llm import substring_dedup as D
 from scholium.llm.substring_dedup import FMIndex, least_documents, remove_repeats, sliding_min, stride, substring_dedup
 from tests.llm import cases
 
@@ -79,3 +81,25 @@ def test_pieces_agree_with_one_index():
     for limit in (10**6, 100):
         assert least_documents(np.concatenate(parts), size, doc, 4, limit).tolist() == sum(want, [])
     assert [stride(k) for k in (1, 4, 7, 12, 50)] == [1, 2, 1, 3, 5]
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_a_segment_is_sent_once_and_only_beside_others_of_its_key(spark, monkeypatch, near):
+    """Equal texts need no search; of near copies each distinct segment travels from one document."""
+    rng = random.Random(8)
+    texts = [cases.sentence(rng, 300, 10**6) for _ in range(4)]
+    if near:
+        texts += [t.replace(t.split(" ")[150], "otherwise") for t in texts]
+    rows = [(c * 10 + i, t) for c in range(5) for i, t in enumerate(texts)]
+    sent = []
+
+    def counted(*args, f=D._bodies):
+        found = f(*args)
+        sent.extend(np.frombuffer(r["segs"], D.SEG)[["g", "digest"]].tolist() for r in found.collect())
+        return found
+
+    monkeypatch.setattr(D, "_bodies", counted)
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows)
+    sent = sum(sent, [])
+    assert len(sent) == len(set(sent)) and bool(sent) == near
