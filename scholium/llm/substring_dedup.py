@@ -43,9 +43,10 @@ K = 50
 FILTER = 26
 #: Windows of a segment at most, and words of an index at most.
 SEGMENT = 256
-INDEX = 4_000_000
-#: Words of a shard, on average.
+INDEX = 2_000_000
+#: Words of a shard, on average, and windows that step at once.
 SHARD = 400_000
+STEP = 1 << 17
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -274,41 +275,51 @@ def least_documents(words: np.ndarray, size: np.ndarray, doc: np.ndarray, k: int
     order = np.argsort(doc, kind="stable")  # so that the first suffix of an interval is that of the least document
     own, m = doc[order], size[order] - t + 1
     # places of the symbols: of each segment those at words 0, t, 2t, ... and an end, then those at 1, t + 1, ... and an end
+    # (arrays as long as the words are dropped as soon as they have served, and are of 32 bits where these suffice)
+    small = np.int32 if int((m + t).sum()) < 2**31 else np.int64
     full = np.cumsum(m + t) - (m + t)
-    row = np.repeat(np.arange(len(order)), m)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-    phase, step = place % t, place // t
-    at = full[row] + phase * (m[row] // t + 1) + np.minimum(phase, m[row] % t) + step
+    row = np.repeat(np.arange(len(order), dtype=small), m)
+    place = (np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)).astype(small)
+    phase = place % t
+    at = (full[row] + phase * (m // t + 1)[row] + np.minimum(phase, (m % t)[row]) + place // t).astype(small)
+    del phase
     sums = X.prefix(X.mix(words ^ X.CODE[211]))
     first = start[order][row] + place
-    _, symbol = np.unique(X.span(sums, first, first + t), return_inverse=True)
-    text = np.zeros(int((m + t).sum()), np.int64)
+    symbol = X.span(sums, first, first + t)
+    del sums, first
+    symbol = np.unique(symbol, return_inverse=True)[1].astype(small)
+    text = np.zeros(int((m + t).sum()), small)
     text[at] = symbol + 1
+    del symbol
     windows = np.flatnonzero(place + k <= size[order][row])
     found = own[row[windows]]
-    starts, depth = at[windows], k // t
+    starts, depth = at[windows].astype(np.int64), k // t
+    into = (np.cumsum(size - k + 1) - (size - k + 1))[order][row[windows]] + place[windows]
+    del row, place, at
     piece = np.cumsum(m + t) // limit  # each is an index of its own, the segments stream against all of them
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(order)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = full[a], full[b - 1] + m[b - 1] + t
         dense, symbols = np.unique(text[lo:hi], return_inverse=True)
         index = FMIndex(symbols, depth)
-        where = np.minimum(np.searchsorted(dense, text), len(dense) - 1)
-        query = np.where(dense[where] == text, where, len(dense))
-        matched, rank = index.search(query, starts, depth, 2 if len(cuts) == 2 else 1)
-        hit = np.flatnonzero(matched == depth)
+        del symbols
+        where = np.minimum(np.searchsorted(dense, text), len(dense) - 1).astype(small)
+        query = np.where(dense[where] == text, where, small(len(dense)))
+        del where
         owner = np.repeat(own[a:b], m[a:b] + t)
-        found[hit] = np.minimum(found[hit], owner[index.suffixes[rank[hit]]])
+        for x in range(0, len(starts), STEP):
+            matched, rank = index.search(query, starts[x : x + STEP], depth, 2 if len(cuts) == 2 else 1)
+            hit = np.flatnonzero(matched == depth)
+            found[hit + x] = np.minimum(found[hit + x], owner[index.suffixes[rank[hit]]])
     out = np.empty(len(windows), np.int64)
-    n = size - k + 1
-    into = np.cumsum(n) - n
-    out[np.repeat(into[order], n[order]) + place[windows]] = found
+    out[into] = found
     return out
 
 
 def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         """(g, digest, s, e, m): runs of windows of a segment that start in document m first, where m is not the last of the segment's documents."""
+        X.give_back()
         bodies, ends = table.filter(pc.is_valid(table.column("segs"))), table.filter(pc.is_valid(table.column("lo")))
         lo, hi, g, digest = (ends.column(c).to_numpy() for c in ("lo", "hi", "g", "digest"))
         segs, words = [np.empty(0, SEG)], [np.empty(0, np.uint64)]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -103,3 +104,16 @@ def test_a_segment_is_sent_once_and_only_beside_others_of_its_key(spark, monkeyp
     assert sorted(str(tuple(r)) for r in got) == brute(rows)
     sent = sum(sent, [])
     assert len(sent) == len(set(sent)) and bool(sent) == near
+
+
+def test_memory_of_a_shard():
+    """A shard's search holds at most 120 bytes a word, with its words."""
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 5000, (3000, 100)).astype(np.uint64)
+    words[:, 20:80] = words[0, 20:80]
+    words[np.arange(3000), 70 + np.arange(3000) % 10] = 9999
+    tracemalloc.start()
+    found = least_documents(words.ravel(), np.full(3000, 100), rng.permutation(3000), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3000 * 51 and most < 120 * words.size
