@@ -7,21 +7,19 @@ must exceed ``GAIN``. Next-word distributions are smoothed towards the suffix's:
 A token is scored in the state of the longest kept suffix of the words before it. Levels are built one behind another
 until no context of a level is kept (or to a ``depth`` that the caller gives).
 
-All counts are over all training rows and grow with the corpus. A block counts its grams first and sends them packed,
-column by column, to the task of the gram one word shorter, where they are summed and get that gram's probability; from there
-they go to the task of their context, which is put to the test. A level's grams are gathered only behind contexts that
-can be kept (filters of fixed size; a full one lets more through, never less). With the smoothing above a token's log
-probability is a sum of weights of keys (word, kept context, gram seen behind it), so scoring joins each document's keys
-with one table of weights. The ``HOT`` most used keys, which is where skew lies, are broadcast and settled in the first
-pass; all others take the join. A task holds at most the words that follow one context, which the vocabulary bounds.
-
-Words stand as 64-bit hashes.
+All counts are over all training rows and grow with the corpus. Texts are read once: a block of rows is written as its
+distinct words and a number a token. For each level a block asks once for each distinct gram whose context can be kept: it
+sends packed, to the task of the context, how often it has the gram in training rows and the gram's probability behind the
+suffix, which it knows from the level before. The task sums, puts its contexts to the test and answers each block in the
+order of its question with counts alone, from which the block has the probabilities of its tokens. So a token is scored while the
+tree grows, what moves is a row a block and task, and neither texts nor a table of all weights are joined. What a block knows
+is worked out anew from its answers; from the second level on only tokens behind kept contexts are left, and this is written.
+
+Words and contexts stand as 64-bit hashes; words behind a context as numbers that the tasks of the first level have given them.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,10 +39,9 @@ from scholium.llm.shared import materialize, partitions_of, release
 LEAST = 8
 GAIN = 2.0
 ALPHA = 10.0
-HOT = 1 << 17
-FILTER = 27
 END = np.uint64(0x5EED0E2D)
 FIRST = 0.1  # added to every count of the root
+SETTLE = 2  # the level behind which blocks are written anew
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,435 +62,342 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return X.mix(X.mix(a ^ X.CODE[220]) + b * X.CODE[221])
 
 
-def context(a: np.ndarray) -> np.ndarray:
-    return X.mix(a ^ X.CODE[222])
+def _packed(x: np.ndarray) -> bytes:
+    """The numbers compressed, their lowest bytes first, then the next: small numbers and frequent ones take little."""
+    if not len(x):
+        return b""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return raw.size.to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def grams(w: np.ndarray, to: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For depths 1 to ``depth``: places of the tokens with that many words before them, key of the context, key of the gram.
+def _opened(blob: bytes, kind: str) -> np.ndarray:
+    if not len(blob):
+        return np.empty(0, kind)
+    raw = pa.decompress(pa.py_buffer(blob)[8:], int.from_bytes(blob[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    A gram's key is that of its first word and of what follows it, from the left; a context's is that of its words.
-    """
-    place = np.arange(len(w)) - np.repeat(to[:-1], np.diff(to))
-    ends = w  # at each place the key of the words that end there: one, then two and so on
-    for d in range(1, depth + 1):
-        at = np.flatnonzero(place >= d)
-        longer = np.zeros_like(w)
-        longer[at] = pair(ends[at - 1], w[at])
-        yield at, ends[at - 1], longer[at]
-        ends = longer
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, at, n = np.unique(keys, return_index=True, return_counts=True)
-    return at, n
-
-
-def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    x = (key >> np.uint64(64 - FILTER)).astype(np.int64)
-    return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
-
-
-def _filter(table: DataFrame, column: str) -> np.ndarray:
-    """Bits of the packed keys of a column, folded in ranges on the executors; of fixed size whatever the corpus."""
-    ranges = 64
-    part = (1 << FILTER) // ranges
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (key,) = _gathered(batch, **{column: "<u8"})
-            at = np.unique(key >> np.uint64(64 - FILTER)).astype(np.int64)
-            cut = np.searchsorted(at, np.arange(ranges + 1) * part)
-            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([(at[x:y] % part).astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["part", "at"])
-
-    def fold(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(part, bool)
-        for x in rows.column("at"):
-            bits[np.frombuffer(x.as_buffer(), "<u4")] = True
-        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (FILTER - 3), np.uint8)
-    size = part >> 3
-    for r in table.select(column).mapInArrow(places, "part int, at binary").groupBy("part").applyInArrow(fold, "part int, bits binary").toLocalIterator():
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _shared(table: DataFrame, column: str):
-    """The filter of the keys, for the executors. Few keys leave it nearly empty, so it goes out compressed."""
-    return table.sparkSession.sparkContext.broadcast(zlib.compress(_filter(table, column).tobytes(), 1))
-
-
-def _opened(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.uint8)
-
-
-def _words(docs: DataFrame, parts: int) -> DataFrame:
-    """(to, key, uses, total): words packed with their counts, and the sum of these."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in X.blocks(batches, TEXT, 2 * X.BLOCK):
-            w, _ = tokens(data, offs)
-            at, n = _counted(w)
-            yield from _dealt(w[at], parts, {"key": w[at], "c": n.astype("<u4")}).to_batches()
-
-    def summed(table: pa.Table) -> pa.Table:
-        key, c = _gathered(table, key="<u8", c="<u4")
-        order = np.argsort(key)
-        key, c = key[order], c[order].astype(np.int64)
-        first = _first(key)
-        c = np.add.reduceat(c, first)
-        return pa.table({"to": table.column("to").slice(0, 1), "key": [key[first].tobytes()], "uses": [c.tobytes()], "total": [int(c.sum())]})
-
-    return docs.mapInArrow(run, "to int, key binary, c binary").repartition(parts, "to").groupBy("to").applyInArrow(summed, "to int, key binary, uses binary, total long")
-
-
-LEVEL = "to int, kind int, key binary, uses binary, score binary, p binary, node binary"
-WORD, GRAM, NODE, OFTEN = 0, 1, 2, 3
-
-
-def _root(words: DataFrame, n: int, v: int) -> DataFrame:
-    """Words as rows of a level: the probability of each, and its logarithm as weight."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for to, key, uses in zip(*(batch.column(c).to_pylist() for c in ("to", "key", "uses")), strict=True):
-                p = (np.frombuffer(uses, "<i8") + FIRST) / (n + FIRST * (v + 1))
-                yield pa.RecordBatch.from_pylist([{"to": to, "kind": WORD, "key": key, "uses": uses, "score": np.log10(p).tobytes(), "p": p.tobytes(), "node": None}], pa.schema([("to", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("key", "uses", "score", "p", "node")]]))
-
-    return words.mapInArrow(run, LEVEL)
-
-
-def _often(table: DataFrame, least: int) -> DataFrame:
-    """(key): of the packed keys those used ``least`` times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, uses = _gathered(batch, key="<u8", uses="<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([key[uses >= least].tobytes()], pa.binary())], names=["key"])
-
-    return table.select("key", "uses").mapInArrow(run, "key binary")
 
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where the sorted column changes."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
-def _dealt(by: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.Table:
-    """A row a task (the remainder of ``by``): the columns' values for it, packed in order of ``by``."""
-    to = (by.view(np.int64) % parts).astype(np.int32)
-    order = np.lexsort((by, to))
-    to = to[order]
-    first = np.flatnonzero(np.diff(to, prepend=-1))
-    out = {"to": pa.array(to[first], pa.int32())}
-    for name, x in columns.items():
-        x = np.ascontiguousarray(x[order])
-        ends = (np.append(first, len(x)) * (x.nbytes // max(1, len(x)))).astype(np.int64)
-        out[name] = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(x.tobytes())]).cast(pa.binary())
-    return pa.table(out)
 
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Tasks hold ranges of keys, so keys in order are in order of task."""
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-def _gathered(table: pa.Table | pa.RecordBatch, **kinds: str) -> list[np.ndarray]:
-    """Columns of :func:`_dealt`, one behind another."""
-    return [np.frombuffer(b"".join(x.as_py() for x in table.column(name) if x.is_valid), kind) for name, kind in kinds.items()]
 
+ASKED = "part int, block long, ctx binary, runs binary, word binary, c binary, up binary"
+TOLD = "block long, level int, part int, n binary, c binary, total long, kept long"
+_ASKED, _TOLD = (pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in s.split(", "))]) for s in (ASKED, TOLD))
+HEAVY = ("ids", "known", "base", "score")  # what questions do not need
 
-def _first(*columns: np.ndarray) -> np.ndarray:
-    """Where the sorted columns change."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
-    return np.flatnonzero(new)
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Rows in blocks: ids, folds, offsets (to), distinct words (keys, the most frequent first), the number of each token's word.
 
-def _grams(docs: DataFrame, depth: int, wanted, suffixes, parts: int) -> DataFrame:
-    """(to, up, ctx, gram, c): grams whose context is in the filters, a row per block and task of ``up``, the gram one word shorter.
-
-    Of depth 1 ``up`` is the last word itself, from which and the context the gram follows, so it is not sent.
+    ``depth`` levels are settled in ``score``; ``at`` and ``p``: the tokens that are not, and their probability so far.
     """
+    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("held", "to", "keys", "word", "at", "p", "known", "base", "score")], T.StructField("depth", T.IntegerType())])
+    arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lower = _opened(wanted.value), suffixes and _opened(suffixes.value)
-        for _, data, offs in X.blocks(batches, TEXT, 2 * X.BLOCK):
+        block = TaskContext.get().partitionId() << 32
+        for rows, data, offs in X.blocks(batches, TEXT, 2 * X.BLOCK):
             w, to = tokens(data, offs)
-            place, ctx, gram = deque(grams(w, to, depth), 1)[0]
-            on = _in(bits, ctx)
-            place, ctx, gram = place[on], ctx[on], gram[on]
-            up = w[place]
-            if depth > 1:
-                last = _last(w, place, depth)
-                on = _in(lower, last)
-                ctx, gram, up = ctx[on], gram[on], pair(last[on], up[on])
-            at, n = _counted(gram)
-            columns = {"up": up[at], "ctx": ctx[at], "gram": gram[at] if depth > 1 else np.empty((len(at), 0), np.uint8), "c": n.astype("<u4")}
-            if len(at):
-                yield from _dealt(up[at], parts, columns).to_batches()
-
-    return docs.mapInArrow(run, "to int, up binary, ctx binary, gram binary, c binary")
-
-
-def _last(w: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-    """Key of the context at each place, less its first word; of depth 1 the context itself."""
-    last = w[place - (depth - 1 or 1)]
-    for i in range(depth - 2, 0, -1):
-        last = pair(last, w[place - i])
-    return last
-
-
-def _summed(depth: int, parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        """(to, ctx, gram, c, up_p): grams summed, with the probability of the one a word shorter; those without go, as its context is not kept."""
-        X.give_back()
-        key, p = _gathered(table, key="<u8", p="<f8")
-        order = np.argsort(key)
-        key, p = key[order], p[order]
-        up, ctx, gram, c = _gathered(table, up="<u8", ctx="<u8", gram="<u8", c="<u4")
-        order = np.lexsort((ctx, up))
-        up, ctx, gram, c = up[order], ctx[order], gram[order] if depth > 1 else up[order], c[order]
-        if len(up):
-            first = _first(up, ctx)
-            up, ctx, gram, c = up[first], ctx[first], gram[first], np.add.reduceat(c.astype(np.int64), first)
-        at = np.minimum(np.searchsorted(key, up), max(0, len(key) - 1))
-        on = key[at] == up if len(key) else np.zeros(len(up), bool)
-        return _dealt(ctx[on], parts, {"ctx": ctx[on], "gram": gram[on], "c": c[on].astype(np.int64), "up_p": p[at[on]]})
-
-    return run
-
-
-def _tested(depth: int, alpha: float, least: int, gain: float, parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Of the contexts that pass the test the context itself (NODE: what it leaves to its suffix) and its grams (GRAM: the rest
-        of their weight, and their probability); of depth 1 the other grams seen ``least`` times as well (OFTEN)."""
-        X.give_back()
-        ctx, gram, c, up_p = _gathered(table, ctx="<u8", gram="<u8", c="<i8", up_p="<f8")
-        order = np.argsort(ctx, kind="stable")
-        ctx, gram, c, up_p = ctx[order], gram[order], c[order], up_p[order]
-        if depth == 1:
-            gram = pair(ctx, gram)
-        first = _first(ctx) if len(ctx) else np.empty(0, np.int64)
-        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ctx))))
-        total = np.add.reduceat(c, first) if len(first) else first
-        n = total[row]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alone = c * np.log((c - 1 + alpha * up_p) / (n - 1 + alpha) / up_p)
-            kept = (total >= least) & ((np.add.reduceat(alone, first) if len(first) else total) > gain)
-        left = np.log10(alpha / (total + alpha))
-        on = kept[row]
-        often = ~on & (c >= least) if depth == 1 else np.zeros(len(on), bool)
-        p = (c[on] + alpha * up_p[on]) / (n[on] + alpha)
-        nodes = ctx[first][kept]
-        found = [
-            (GRAM, {"key": gram[on], "uses": c[on], "score": np.log10(p) - np.log10(up_p[on]) - left[row[on]], "p": p}),
-            (NODE, {"key": context(nodes), "uses": total[kept], "score": left[kept], "node": nodes}),
-            (OFTEN, {"key": gram[often], "uses": c[often]}),
-        ]
-        out = []
-        for kind, columns in found:
-            rows = _dealt(columns["key"], parts, columns)
-            rows = rows.append_column("kind", pa.array(np.full(rows.num_rows, kind, np.int32)))
-            for c in ("score", "p", "node"):
-                if c not in columns:
-                    rows = rows.append_column(c, pa.nulls(rows.num_rows, pa.binary()))
-            out.append(rows.select(["to", "kind", "key", "uses", "score", "p", "node"]))
-        return pa.concat_tables(out)
-
-    return run
-
-
-def _contexts(docs: DataFrame, depth: int, suffixes, least: int, parts: int) -> DataFrame:
-    """(key): contexts of that many words that were seen ``least`` times and whose suffix is in the filter."""
+            keys, word = np.unique(w, return_inverse=True)
+            order = np.argsort(-np.bincount(word, minlength=len(keys)), kind="stable")
+            rank = np.empty(len(keys), "<u4")
+            rank[order] = np.arange(len(keys))
+            ids = rows.column("doc_id")
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
+            own = [held.tobytes(), _packed(to.astype("<i8")), keys[order].tobytes(), _packed(rank[word]), None, None, None, None, None]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), ids.cast(arrow.field("ids").type), *[pa.array([x], pa.binary()) for x in own], pa.array([0], pa.int32())], schema=arrow)
+            block += 1
+
+    return docs.mapInArrow(run, out)
+
+
+class _Block:
+    """A block's tokens, followed through the levels that it has answers for: ``at`` are those that go into level ``level``, ``p``
+    their probability so far, ``score`` the sum of the logarithms of the others."""
+
+    def __init__(self, own: dict, answers: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int, alpha: float, least: int, parts: int):
+        self.parts = parts
+        self.word, self.to = _opened(own["word"], "<u4"), _opened(own["to"], "<i8")
+        self.row = X.row_of(self.to)
+        self.held = np.frombuffer(own["held"], np.uint8)
+        self.place = np.arange(len(self.word)) - np.repeat(self.to[:-1], np.diff(self.to))
+        m = len(self.held)
+        self.uses = self.pairs = None
+        if own["depth"]:
+            self.at, self.p = _opened(own["at"], "<i8"), _opened(own["p"], "<f8")
+            self.keys = self.names = _opened(own["keys"], "<u8")
+            self.known, self.base, self.score = (np.frombuffer(own[c], "<f8").copy() if own.get(c) else np.zeros(m) for c in ("known", "base", "score"))
+        else:
+            self.keys, rank = _in_order(own["keys"])
+            self.names, self.uses = answers[0][0].view(np.uint64), answers[0][1]
+            self.named = self.names[rank]
+            self.word = rank[self.word]
+            p = (self.uses + FIRST) / (n + FIRST * (v + 1))
+            self.at, self.p = np.arange(len(self.word)), p[self.word]
+            self.known, self.base, self.score = np.bincount(self.row, (self.uses > 0)[self.word], m), np.bincount(self.row, np.log10(p)[self.word], m), np.zeros(m)
+        self.level = own["depth"] + 1
+        self._narrow(least)
+        while self.level in answers:
+            entry, lead, ctx = self.entries()
+            total, c = answers[self.level]
+            total = total[np.cumsum(self._runs(ctx)[0]) - 1][entry]
+            c = c[entry]
+            if self.level == 1:
+                self.pairs = np.zeros(len(self.word), np.int64)
+                self.pairs[self.at] = c
+            kept = total > 0
+            self._settle(kept)
+            self.p = (c[kept] + alpha * self.p) / (total[kept] + alpha)
+            self.level += 1
+            self._narrow(least)
+
+    def _settle(self, on: np.ndarray) -> None:
+        """Goes on with the chosen tokens; the others have their probability."""
+        self.score += np.bincount(self.row[self.at[~on]], np.log10(self.p[~on]), len(self.score))
+        self.at, self.p = self.at[on], self.p[on]
+
+    def _narrow(self, least: int) -> None:
+        """Leaves tokens with enough words before them; of a context of one or two words the count is known already."""
+        on = self.place[self.at] >= self.level
+        if self.level == 1:
+            on &= (self.uses >= least)[self.word[self.at - 1]]
+        elif self.level == 2 and self.pairs is not None:
+            on &= self.pairs[self.at - 1] >= least
+        self._settle(on)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each token's gram, a token of each gram, keys of the grams' contexts. Grams are in order of task and context."""
+        at = self.at
+        if self.level == 1:
+            bits, low = max(1, (len(self.keys) - 1).bit_length()), max(1, len(at).bit_length())
+            code = (self.word[at - 1].astype(np.uint64) << np.uint64(bits)) | self.word[at]
+            if 2 * bits + low <= 64:
+                code = (code << np.uint64(low)) | np.arange(len(at), dtype=np.uint64)
+                code.sort()
+                order = (code & np.uint64((1 << low) - 1)).astype(np.int64)
+                code >>= np.uint64(low)
+            else:
+                order = np.argsort(code)
+                code = code[order]
+            first = _first(code)
+            rank = np.arange(len(first))
+            ctx = self.keys[self.word[at[order[first]] - 1]]
+        else:
+            ctx = self.keys[self.word[at - self.level]]
+            for i in range(self.level - 1, 0, -1):
+                ctx = pair(ctx, self.keys[self.word[at - i]])
+            code = pair(ctx, self.keys[self.word[at]])
+            order = np.argsort(code)
+            first = _first(code[order])
+            ctx = ctx[order[first]]
+            by = np.argsort(ctx, kind="stable")
+            rank = np.empty(len(first), np.int64)
+            rank[by] = np.arange(len(first))
+            ctx = ctx[by]
+        entry = np.empty(len(at), np.int64)
+        entry[order] = np.repeat(rank, np.diff(np.append(first, len(at))))
+        lead = np.empty(len(first), np.int64)
+        lead[rank] = order[first]
+        return entry, lead, ctx
+
+    @staticmethod
+    def _runs(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.zeros(len(ctx), np.int64)
+        first = _first(ctx)
+        new[first] = 1
+        return new, first
+
+    def ask(self, block: int) -> pa.Table:
+        entry, lead, ctx = self.entries()
+        _, first = self._runs(ctx)
+        at = self.at[lead]
+        c = np.bincount(entry, self.held[self.row[self.at]] == 0, len(lead)).astype("<u4")
+        word = self.names[self.word[at]]
+        up = self.uses[self.word[at]] if self.level == 1 else self.p[lead]
+        runs = np.diff(np.append(first, len(ctx))).astype("<u4")
+        to = _part(ctx[first], self.parts)
+        rows = []
+        edge = np.append(_first(to), len(to))
+        ends = np.append(first, len(ctx))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            x, y = ends[lo], ends[hi]
+            rows.append((int(to[lo]), block, ctx[first[lo:hi]].tobytes(), _packed(runs[lo:hi]), _packed(word[x:y]), _packed(c[x:y]), _packed(up[x:y])))
+        return _table(rows, _ASKED)
+
+
+def _in_order(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's words in order of key, and the place there of each."""
+    keys = np.frombuffer(blob, "<u8")
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), "<u4")
+    rank[order] = np.arange(len(keys))
+    return keys[order], rank
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
+def _read(table: pa.Table) -> tuple[dict, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The block's own row, and its answers by level."""
+    told = pc.is_valid(table.column("level"))
+    own = table.filter(pc.invert(told))
+    own = {c: own.column(c)[0].as_py() for c in own.column_names if c != "ids"}
+    rows = sorted(table.filter(told).select(["level", "part", "n", "c"]).to_pylist(), key=lambda x: (x["level"], x["part"]))
+    answers = {}
+    for level in {x["level"] for x in rows}:
+        mine = [x for x in rows if x["level"] == level]
+        answers[level] = tuple(np.concatenate([_opened(x[k], "<i8") for x in mine]) for k in ("n", "c"))
+    return own, answers
+
+
+def _words(state: DataFrame, parts: int) -> DataFrame:
+    """Answers of level 0: a number in the corpus and the uses of each word of a block; and rows without a block, with the sum of
+    the uses and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _opened(suffixes.value)
-        for _, data, offs in X.blocks(batches, TEXT, 2 * X.BLOCK):
-            w, to = tokens(data, offs)
-            place, ctx, _ = deque(grams(w, to, depth), 1)[0]
-            ctx = ctx[_in(bits, _last(w, place, depth))]
-            at, n = _counted(ctx)
-            if len(at):
-                yield from _dealt(ctx[at], parts, {"ctx": ctx[at], "c": n.astype("<u4")}).to_batches()
+        for batch in batches:
+            for own in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                keys, rank = _in_order(own["keys"])
+                word, to = rank[_opened(own["word"], "<u4")], _opened(own["to"], "<i8")
+                learnt = np.repeat(np.frombuffer(own["held"], np.uint8) == 0, np.diff(to))
+                c = np.bincount(word[learnt], minlength=len(keys)).astype("<u4")
+                part = _part(keys, parts)
+                edge = np.append(_first(part), len(part))
+                rows = [(int(part[x]), own["block"], None, None, keys[x:y].tobytes(), _packed(c[x:y]), None) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                yield from _table(rows, _ASKED).to_batches()
 
     def summed(table: pa.Table) -> pa.Table:
-        ctx, c = _gathered(table, ctx="<u8", c="<u4")
-        order = np.argsort(ctx)
-        first = _first(ctx[order])
-        return pa.table({"key": [ctx[order][first][np.add.reduceat(c[order].astype(np.int64), first) >= least].tobytes()]})
-
-    return docs.mapInArrow(run, "to int, ctx binary, c binary").repartition(parts, "to").groupBy("to").applyInArrow(summed, "key binary")
-
-
-def learn(docs: DataFrame, parts: int, alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, depth: int | None = 2) -> tuple[list[DataFrame], int, int]:
-    """Levels from the root on (rows of LEVEL), training tokens and distinct ones. ``docs`` has the text as ``TEXT``."""
-    words = materialize(_words(docs, parts), "words")
-    r = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("v")).first()
-    n, v = int(r["n"]), int(r["v"]) // 8
-    levels = [_root(words, n, v)]
-    wanted, suffixes = _shared(_often(words, least), "key"), None
-    while depth is None or len(levels) <= depth:
-        at = len(levels)
-        lower = levels[-1].where(F.col("kind").isin(WORD, GRAM)).select("to", "key", "p")
-        found = _grams(docs, at, wanted, suffixes, parts).unionByName(lower, allowMissingColumns=True)
-        found = found.repartition(parts, "to").groupBy("to").applyInArrow(_summed(at, parts), "to int, ctx binary, gram binary, c binary, up_p binary")
-        level = materialize(found.repartition(parts, "to").groupBy("to").applyInArrow(_tested(at, alpha, least, gain, parts), LEVEL), f"level{at}")
-        wanted.destroy()
-        if suffixes:
-            suffixes.destroy()
-        nodes = level.where(F.col("kind") == NODE)
-        if nodes.isEmpty():
-            release(level)
-            break
-        levels.append(level)
-        if len(levels) - 1 == depth:
-            break
-        # contexts of one word more: seen often, and a kept context without their first word; of two words the grams
-        # of the first level tell, of more they need not be there (their first words may be no kept context)
-        suffixes = _shared(nodes, "node")
-        more = _often(level.where(F.col("kind") != NODE), least) if at == 1 else _contexts(docs, at + 1, suffixes, least, parts)
-        wanted = _shared(more, "key")
-    return levels, n, v
-
-
-def _most_used(table: DataFrame, hot: int) -> np.ndarray:
-    """The ``hot`` most used keys in order of key: (key, kind, score). Each task gives its own first."""
-    if not hot:
-        return np.empty(0, [("key", "<i8"), ("kind", "<i4"), ("score", "<f8")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [np.empty(0, "<u8"), np.empty(0, "<i8"), np.empty(0, "<f8"), np.empty(0, "<i4")]
-        for batch in batches:
-            mine = _gathered(batch, key="<u8", uses="<i8", score="<f8")
-            sizes = np.array([len(x) // 8 for x in batch.column("key").to_pylist()], np.int64)
-            mine.append(np.repeat(batch.column("kind").to_numpy().astype("<i4"), sizes))
-            both = [np.concatenate([x, y]) for x, y in zip(best, mine, strict=True)]
-            order = np.lexsort((both[0].view(np.int64), -both[1]))[:hot]
-            best = [x[order] for x in both]
-        key, uses, score, kind = best
-        for at in range(0, len(key), 1 << 14):
-            part = slice(at, at + (1 << 14))
-            yield pa.RecordBatch.from_arrays([_signed(key[part]), pa.array(uses[part]), pa.array(score[part]), pa.array(kind[part])], names=["key", "uses", "score", "kind"])
-
-    rows = table.select("kind", "key", "uses", "score").mapInArrow(run, "key long, uses long, score double, kind int")
-    top = rows.orderBy(F.desc("uses"), "key").limit(hot).select("key", "kind", "score").toPandas().sort_values("key")
-    return top.to_records(index=False, column_dtypes={"key": "<i8", "kind": "<i4", "score": "<f8"})
-
-
-def _weighed(unknown: float):
+        X.give_back()
+        asked = table.select(["part", "block", "word", "c"]).to_pylist()
+        word, c = np.concatenate([np.frombuffer(x["word"], "<u8") for x in asked]), np.concatenate([_opened(x["c"], "<u4") for x in asked])
+        keys, at = np.unique(word, return_inverse=True)
+        total = np.bincount(at, c, len(keys)).astype("<i8")
+        name = np.empty(len(keys), "<i8")  # often used words get small numbers, each task every so manieth
+        name[np.argsort(-total, kind="stable")] = np.arange(len(keys)) * parts + asked[0]["part"]
+        rows = [(None, 0, asked[0]["part"], None, None, int(total.sum()), int((total > 0).sum()))]
+        x = 0
+        for r in asked:
+            y = x + len(r["word"]) // 8
+            rows.append((r["block"], 0, r["part"], _packed(name[at[x:y]]), _packed(total[at[x:y]]), None, None))
+            x = y
+        return _table(rows, _TOLD)
+
+    return state.select("block", "held", "to", "keys", "word").mapInArrow(run, ASKED).repartition(parts, "part").groupBy("part").applyInArrow(summed, TOLD)
+
+
+def _tested(level: int, n: int, v: int, alpha: float, least: int, gain: float):
     def run(table: pa.Table) -> pa.Table:
-        """(row, k, b, s): sums over the keys of each row that are gathered here."""
+        """Answers: of each run of a context its count, 0 if it is not kept, and of each gram its count (of contexts that are not kept
+        only at level 1 if it may be a context itself)."""
         X.give_back()
-        weights = table.filter(pc.is_valid(table.column("kind")))
-        key, score = _gathered(weights, key="<u8", score="<f8")
-        sizes = np.array([len(x) // 8 for x in weights.column("key").to_pylist()], np.int64)
-        word = np.repeat(weights.column("kind").to_numpy() == WORD, sizes)
-        order = np.argsort(key)
-        key, score, word = key[order], score[order], word[order]
-        row, want, times, first = _gathered(table, row="<i8", want="<u8", times="<u4", word="<u1")
-        at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-        known = key[at] == want if len(key) else np.zeros(len(want), bool)
-        own = np.where(first > 0, unknown, 0.0)
-        s = own if not len(key) else np.where(known, score[at], own)
-        root = known & word[at] if len(key) else known
-        rows, of = np.unique(row, return_inverse=True)
-        sums = [np.bincount(of, times * x, len(rows)) for x in (root, np.where(root | (first > 0), s, 0.0), s)]
-        return pa.table({"row": rows, "k": sums[0].astype(np.int64), "b": sums[1].astype(float), "s": sums[2].astype(float)})
+        asked = table.to_pylist()
+        ctx, word = np.concatenate([np.frombuffer(x["ctx"], "<u8") for x in asked]), [_opened(x["word"], "<u8") for x in asked]
+        runs, c = (np.concatenate([_opened(x[k], "<u4") for x in asked]).astype(np.int64) for k in ("runs", "c"))
+        up = np.concatenate([_opened(x["up"], "<i8" if level == 1 else "<f8") for x in asked])
+        sizes = [(len(x["ctx"]) // 8, len(w), x["block"], x["part"]) for x, w in zip(asked, word, strict=True)]
+        word = np.concatenate(word)
+        del asked, table
+        names, of = np.unique(ctx, return_inverse=True)
+        gram = pair(np.repeat(ctx, runs), word)
+        del word, ctx
+        order = np.argsort(gram)
+        first = _first(gram[order])
+        del gram
+        lead = order[first]
+        total = np.add.reduceat(c[order], first)
+        by, p = np.repeat(of, runs)[lead], up[lead]
+        if level == 1:
+            p = (p + FIRST) / (n + FIRST * (v + 1))
+        count = np.bincount(by, total, len(names)).astype(np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alone = np.where(total > 0, total * np.log((total - 1 + alpha * p) / (count[by] - 1 + alpha) / p), 0.0)
+        kept = (count >= least) & (np.bincount(by, alone, len(names)) > gain)
+        total[~(kept[by] | (total >= least) if level == 1 else kept[by])] = 0
+        c[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+        left = np.where(kept, count, 0)[of]
+        rows = [(None, level, sizes[0][3], None, None, int(count[kept].sum()), int(kept.sum()))]
+        x = y = 0
+        for i, j, block, part in sizes:
+            rows.append((block, level, part, _packed(left[x : x + i].astype("<i8")), _packed(c[y : y + j].astype("<i8")), None, None))
+            x, y = x + i, y + j
+        return _table(rows, _TOLD)
 
     return run
 
 
-def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, hot: int = HOT, depth: int | None = 2) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", alpha: float = ALPHA, least: int = LEAST, gain: float = GAIN, hot: int | None = None, depth: int | None = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), a row per document.
 
     Learnt from the rows that are not ``held_out`` (null counts as false). A null or empty text is its end alone. Rows
     that repeat are scored and counted each; a row without an id is trained on and scored. If there is nothing to learn
     from, all tokens are unknown with probability 1. An empty table gives an empty one; other columns are not read. Contexts have at most
-    ``depth`` words; with None, as many as pass the test.
+    ``depth`` words; with None, as many as pass the test. ``hot`` is still taken and has no effect: no keys are broadcast any more.
     """
-    spark = docs.sparkSession
     parts = max(8, min(20_000, 2 * partitions_of(docs)))
     fold = F.coalesce(held_out, F.lit(False))
     chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), fold.alias("held_out"), F.col(f"`{text}`").cast("string").alias(TEXT))
-    levels, n, v = learn(chosen.where(~F.col("held_out")), parts, alpha, least, gain, depth)
-    depth = len(levels) - 1
-    unknown = float(np.log10(FIRST / (n + FIRST * (v + 1))))
-    table = reduce(DataFrame.unionByName, levels).where(F.col("kind") != OFTEN)
-    shared = spark.sparkContext.broadcast((zlib.compress(_filter(table, "key").tobytes(), 1), _most_used(table, hot)))
-    kinds = {"row": "<i8", "want": "<u8", "times": "<u4", "word": "<u1"}
-    head = [T.StructField("id", T.LongType()), chosen.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()))]]
-    out = T.StructType([*head, T.StructField("to", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in kinds]])
+    # written once: answers are in the order of one run of each task
+    state = materialize(_blocks(chosen), "blocks")
+    told = [materialize(_words(state, parts), "words")]
+    sums = told[0].agg(F.sum("total").alias("n"), F.sum("kept").alias("v")).first()
+    n, v = int(sums["n"] or 0), int(sums["v"] or 0)
+
+    def known(light: bool) -> DataFrame:
+        """Blocks and their answers, a block's together."""
+        rows = [state.drop(*HEAVY) if light else state, *[t.where("block is not null").select("block", "level", "part", "n", "c") for t in told]]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        return (rows if told else rows.withColumn("level", F.lit(None).cast("int")).withColumns({"part": F.lit(None).cast("int"), "n": F.lit(None).cast("binary"), "c": F.lit(None).cast("binary")})).repartition(parts, "block").groupBy("block")
+
+    def ask(table: pa.Table) -> pa.Table:
+        X.give_back()
+        own, answers = _read(table)
+        return _Block(own, answers, n, v, alpha, least, parts).ask(own["block"])
+
+    def settled(table: pa.Table) -> pa.Table:
+        X.give_back()
+        own, answers = _read(table)
+        mine = _Block(own, answers, n, v, alpha, least, parts)
+        ids = table.filter(pc.is_null(table.column("level"))).column("ids")
+        values = {"block": own["block"], "ids": ids, "held": own["held"], "to": own["to"], "keys": _packed(mine.named), "word": own["word"], "at": _packed(mine.at.astype("<i8")), "p": _packed(mine.p), "known": mine.known.astype("<f8").tobytes(), "base": mine.base.tobytes(), "score": mine.score.tobytes(), "depth": mine.level - 1}
+        return pa.table({c: x if c == "ids" else pa.array([x], pa.int64() if c == "block" else pa.int32() if c == "depth" else pa.binary()) for c, x in values.items()})
+
+    level = 1
+    while n and (depth is None or level <= depth):
+        found = known(True).applyInArrow(ask, ASKED).repartition(parts, "part").groupBy("part").applyInArrow(_tested(level, n, v, alpha, least, gain), TOLD)
+        found = materialize(found, f"level{level}")
+        if not found.agg(F.sum("kept")).first()[0]:
+            release(found)
+            break
+        told.append(found)
+        if level == SETTLE and level != depth:
+            after = materialize(known(False).applyInArrow(settled, state.schema), "settled")
+            release(state, *told)
+            state, told = after, []
+        level += 1
+
+    out = T.StructType([chosen.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
     arrow = to_arrow_schema(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, top = _opened(shared.value[0]), shared.value[1]
-        following = TaskContext.get().partitionId() << 40
-        for rows, data, offs in X.blocks(batches, TEXT):
-            w, to = tokens(data, offs)
-            m = rows.num_rows
-            row = X.row_of(to)
-            known, base, score = np.zeros(m), np.zeros(m), np.zeros(m)
-            rest = []
-
-            def settle(key, of, word):
-                """Adds what the filter and the most used keys say; the other keys wait. Gives those that may be in the tree."""
-                may = _in(bits, key)
-                if word:
-                    lost = np.bincount(of[~may], minlength=m) * unknown
-                    base[:] += lost
-                    score[:] += lost
-                key, of = key[may].view(np.int64), of[may]
-                at = np.minimum(np.searchsorted(top["key"], key), max(0, len(top) - 1))
-                hit = top["key"][at] == key if len(top) else np.zeros(len(key), bool)
-                mine, own = of[hit], top[at[hit]]
-                root = own["kind"] == WORD
-                known[:] += np.bincount(mine, root, m)
-                base[:] += np.bincount(mine, np.where(root, own["score"], 0.0), m)
-                score[:] += np.bincount(mine, own["score"], m)
-                key, of = key[~hit], of[~hit]
-                order = np.lexsort((key, of))
-                key, of = key[order], of[order]
-                first = _first(key, of) if len(key) else np.empty(0, np.int64)
-                rest.append((of[first] + following, key[first], np.diff(np.append(first, len(key))), np.full(len(first), word)))
-                return may
-
-            seen = settle(w, row, True)  # tokens whose last gram may be in the tree, and then those whose context may
-            kept = np.ones(len(w), bool)
-            for place, ctx, gram in grams(w, to, depth):
-                # a context is only kept with its suffix, and a gram only seen with that of one word less
-                on = kept[place]
-                place, ctx, gram = place[on], ctx[on], gram[on]
-                may = settle(context(ctx), row[place], False)
-                place, gram = place[may], gram[may]
-                kept[:] = False
-                kept[place] = True
-                on = seen[place]
-                place, gram = place[on], gram[on]
-                may = settle(gram, row[place], False)
-                seen[:] = False
-                seen[place[may]] = True
-            none = pa.nulls
-            values = [pa.array(np.arange(m) + following), rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(to)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
-            yield pa.RecordBatch.from_arrays([*values, none(m, pa.int32()), *[none(m, pa.binary())] * 4], schema=arrow)
-            of, key, times, word = (np.concatenate(x) for x in zip(*rest, strict=True))
-            if len(of):
-                dealt = _dealt(key, parts, {c: x.astype(t) for (c, t), x in zip(kinds.items(), (of, key.view(np.uint64), times, word), strict=True)})
-                for c, f in zip(arrow.names[: len(head)], arrow, strict=False):
-                    dealt = dealt.append_column(c, none(dealt.num_rows, f.type))
-                yield from dealt.select(arrow.names).cast(arrow).to_batches()
-            following += m
-
-    # written once: row numbers are those of one run of each task
-    passed = materialize(chosen.mapInArrow(run, out), "scored")
-    shared.destroy()
-    heads = passed.where("to is null").select(*[f.name for f in head])
-    rest = passed.where("to is not null").select("to", *kinds).unionByName(table.select("to", "kind", "key", "score"), allowMissingColumns=True)
-    rest = rest.repartition(parts, "to").groupBy("to").applyInArrow(_weighed(unknown), "row long, k long, b double, s double")
-    rest = materialize(rest.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s")), "rest")
-    release(*levels[1:])
-    zero = F.lit(0.0)
-    return heads.join(rest, F.col("id") == F.col("row"), "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero)).alias("score"),
-    )
+    def scored(table: pa.Table) -> pa.Table:
+        X.give_back()
+        own, answers = _read(table)
+        mine = _Block(own, answers, n, v, alpha, least, parts)
+        mine._settle(np.zeros(len(mine.at), bool))
+        ids = table.filter(pc.is_null(table.column("level"))).column("ids").combine_chunks().flatten()
+        values = [ids.cast(arrow.field(0).type), pa.array(mine.held > 0), pa.array(np.diff(mine.to)), pa.array(mine.known.astype(np.int64)), pa.array(np.full(len(ids), n)), pa.array(mine.base), pa.array(mine.score)]
+        return pa.table(values, schema=arrow)
+
+    scores = materialize(known(False).applyInArrow(scored, out), "scores")
+    release(state, *told)
+    return scores

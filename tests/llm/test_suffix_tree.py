@@ -119,3 +119,29 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in suffix_tree_scores(df, F.lit(True)).collect()) == [(1, True, 3, 0, 0, 0.0, 0.0), (2, True, 1, 0, 0, 0.0, 0.0)]
     assert suffix_tree_scores(cases.empty(spark), F.lit(False)).collect() == []
+
+
+def test_texts_are_read_once_and_little_is_written(spark, monkeypatch):
+    from pathlib import Path
+
+    from scholium.llm import suffix_tree
+    from scholium.llm.shared import shared_dir
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    rows = [(i, " ".join(vocabulary[int(3000 * rng.random() ** 4)] for _ in range(1000))) for i in range(300)]
+    size, read, written = sum(len(t) for _, t in rows), spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    def stored():
+        return sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:").replace("//", "/")).rglob("*.parquet"))
+
+    before = stored()
+    monkeypatch.setattr(suffix_tree, "materialize", lambda df, name, f=suffix_tree.materialize: (f(df, name), written.append(stored() - before))[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).mapInArrow(counted, "doc_id long, text string")
+    assert suffix_tree_scores(df, remainder("doc_id", 10) == 0, depth=None).count() == len(rows)
+    assert read.value == len(rows) and max(written) < size
