@@ -84,13 +84,18 @@ def _first(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _part(key: np.ndarray, parts: int) -> np.ndarray:
+def _part(key: np.ndarray, parts: int | np.ndarray) -> np.ndarray:
     """Tasks hold ranges of keys, so keys in order are in order of task."""
-    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return ((key >> np.uint64(32)) * np.asarray(parts, np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-ASKED = "part int, block long, ctx binary, runs binary, word binary, c binary, up binary"
-TOLD = "block long, level int, part int, n binary, c binary, total long, kept long"
+def _tasks(uses: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """Over how many tasks the grams behind a word go: no task has more tokens of one word than a task has on average."""
+    return np.clip(-(-uses * parts // max(1, n)), 1, parts)
+
+
+ASKED = "part int, block long, ctx binary, runs binary, n binary, word binary, c binary, up binary"
+TOLD = "block long, level int, part int, n binary, gains binary, c binary, total long, kept long"
 _ASKED, _TOLD = (pa.schema([(c, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in s.split(", "))]) for s in (ASKED, TOLD))
 HEAVY = ("ids", "known", "base", "score")  # what questions do not need
 
@@ -125,8 +130,8 @@ class _Block:
     """A block's tokens, followed through the levels that it has answers for: ``at`` are those that go into level ``level``, ``p``
     their probability so far, ``score`` the sum of the logarithms of the others."""
 
-    def __init__(self, own: dict, answers: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int, alpha: float, least: int, parts: int):
-        self.parts = parts
+    def __init__(self, own: dict, answers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, v: int, alpha: float, least: int, gain: float, parts: int):
+        self.n, self.parts = n, parts
         self.word, self.to = _opened(own["word"], "<u4"), _opened(own["to"], "<i8")
         self.row = X.row_of(self.to)
         self.held = np.frombuffer(own["held"], np.uint8)
@@ -139,7 +144,7 @@ class _Block:
             self.known, self.base, self.score = (np.frombuffer(own[c], "<f8").copy() if own.get(c) else np.zeros(m) for c in ("known", "base", "score"))
         else:
             self.keys, rank = _in_order(own["keys"])
-            self.names, self.uses = answers[0][0].view(np.uint64), answers[0][1]
+            self.names, self.uses = answers[0][0].view(np.uint64), answers[0][2]
             self.named = self.names[rank]
             self.word = rank[self.word]
             p = (self.uses + FIRST) / (n + FIRST * (v + 1))
@@ -148,9 +153,21 @@ class _Block:
         self.level = own["depth"] + 1
         self._narrow(least)
         while self.level in answers:
-            entry, lead, ctx = self.entries()
-            total, c = answers[self.level]
-            total = total[np.cumsum(self._runs(ctx)[0]) - 1][entry]
+            entry, _, of, runs, _, _ = self.entries()
+            count, gains, c = answers[self.level]
+            total = np.zeros(int(runs.max(initial=-1)) + 1, np.int64)
+            if self.level == 1:
+                # of a context of many tasks each told its share of the sum that is tested
+                uses = self.uses[self.word[self.at - 1]]
+                total[of[entry]] = uses
+                many = _tasks(total, n, parts) > 1
+                alone = np.bincount(runs[many[runs]], gains, len(total))
+                total[many & ~((total >= least) & (alone > gain))] = 0
+                one = ~many[runs]
+                total[runs[one]] = count[one]
+            else:
+                total[runs] = count
+            total = total[of[entry]]
             c = c[entry]
             if self.level == 1:
                 self.pairs = np.zeros(len(self.word), np.int64)
@@ -175,8 +192,9 @@ class _Block:
             on &= self.pairs[self.at - 1] >= least
         self._settle(on)
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of each token's gram, a token of each gram, keys of the grams' contexts. Grams are in order of task and context."""
+    def entries(self) -> tuple[np.ndarray, ...]:
+        """Number of each token's gram; of each gram a token and the number of its context; of each run of grams the number of the
+        context, the task and the length. Grams and runs are in order of task and context; a run may be empty."""
         at = self.at
         if self.level == 1:
             bits, low = max(1, (len(self.keys) - 1).bit_length()), max(1, len(at).bit_length())
@@ -190,8 +208,18 @@ class _Block:
                 order = np.argsort(code)
                 code = code[order]
             first = _first(code)
-            rank = np.arange(len(first))
-            ctx = self.keys[self.word[at[order[first]] - 1]]
+            ctx = self.word[at[order[first]] - 1]
+            new = _first(ctx)
+            of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(ctx))))
+            # a context of many tasks asks all of them, so that each block sees their whole sum
+            tasks = _tasks(self.uses[ctx[new]], self.n, self.parts)
+            start = np.cumsum(tasks) - tasks
+            runs = np.repeat(np.arange(len(new)), tasks)
+            part = ((_part(self.keys[ctx[new]], self.parts) - start)[runs] + np.arange(len(runs))) % self.parts
+            run = start[of] + _part(self.keys[self.word[at[order[first]]]], tasks[of])
+            length = np.bincount(run, minlength=len(runs))
+            by, by_run = (np.argsort(x.astype(np.uint16), kind="stable") for x in (part[run], part))
+            of, runs, part, length = of[by], runs[by_run], part[by_run], length[by_run]
         else:
             ctx = self.keys[self.word[at - self.level]]
             for i in range(self.level - 1, 0, -1):
@@ -201,37 +229,36 @@ class _Block:
             first = _first(code[order])
             ctx = ctx[order[first]]
             by = np.argsort(ctx, kind="stable")
-            rank = np.empty(len(first), np.int64)
-            rank[by] = np.arange(len(first))
             ctx = ctx[by]
+            new = _first(ctx)
+            length = np.diff(np.append(new, len(ctx)))
+            runs = np.arange(len(new))
+            of = np.repeat(runs, length)
+            part = _part(ctx[new], self.parts)
+            self.ctx = ctx[new]
+        rank = np.empty(len(first), np.int64)
+        rank[by] = np.arange(len(first))
         entry = np.empty(len(at), np.int64)
         entry[order] = np.repeat(rank, np.diff(np.append(first, len(at))))
-        lead = np.empty(len(first), np.int64)
-        lead[rank] = order[first]
-        return entry, lead, ctx
-
-    @staticmethod
-    def _runs(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.zeros(len(ctx), np.int64)
-        first = _first(ctx)
-        new[first] = 1
-        return new, first
+        return entry, order[first][by], of, runs, part, length
 
     def ask(self, block: int) -> pa.Table:
-        entry, lead, ctx = self.entries()
-        _, first = self._runs(ctx)
+        entry, lead, of, runs, part, length = self.entries()
         at = self.at[lead]
         c = np.bincount(entry, self.held[self.row[self.at]] == 0, len(lead)).astype("<u4")
         word = self.names[self.word[at]]
-        up = self.uses[self.word[at]] if self.level == 1 else self.p[lead]
-        runs = np.diff(np.append(first, len(ctx))).astype("<u4")
-        to = _part(ctx[first], self.parts)
+        if self.level == 1:
+            ids = np.empty(int(runs.max(initial=-1)) + 1, np.int64)
+            ids[of] = self.word[at - 1]
+            ctx, n, up = self.keys[ids[runs]], self.uses[ids[runs]], self.uses[self.word[at]]
+        else:
+            ctx, n, up = self.ctx[runs], np.empty(0, np.int64), self.p[lead]
         rows = []
-        edge = np.append(_first(to), len(to))
-        ends = np.append(first, len(ctx))
+        edge = np.append(_first(part), len(part))
+        ends = np.append(0, np.cumsum(length))
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             x, y = ends[lo], ends[hi]
-            rows.append((int(to[lo]), block, ctx[first[lo:hi]].tobytes(), _packed(runs[lo:hi]), _packed(word[x:y]), _packed(c[x:y]), _packed(up[x:y])))
+            rows.append((int(part[lo]), block, ctx[lo:hi].tobytes(), _packed(length[lo:hi].astype("<u4")), _packed(n[lo:hi]), _packed(word[x:y]), _packed(c[x:y]), _packed(up[x:y])))
         return _table(rows, _ASKED)
 
 
@@ -248,16 +275,16 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
-def _read(table: pa.Table) -> tuple[dict, dict[int, tuple[np.ndarray, np.ndarray]]]:
+def _read(table: pa.Table) -> tuple[dict, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The block's own row, and its answers by level."""
     told = pc.is_valid(table.column("level"))
     own = table.filter(pc.invert(told))
     own = {c: own.column(c)[0].as_py() for c in own.column_names if c != "ids"}
-    rows = sorted(table.filter(told).select(["level", "part", "n", "c"]).to_pylist(), key=lambda x: (x["level"], x["part"]))
+    rows = sorted(table.filter(told).select(["level", "part", "n", "gains", "c"]).to_pylist(), key=lambda x: (x["level"], x["part"]))
     answers = {}
     for level in {x["level"] for x in rows}:
         mine = [x for x in rows if x["level"] == level]
-        answers[level] = tuple(np.concatenate([_opened(x[k], "<i8") for x in mine]) for k in ("n", "c"))
+        answers[level] = tuple(np.concatenate([_opened(x[k], kind) for x in mine]) for k, kind in (("n", "<i8"), ("gains", "<f8"), ("c", "<i8")))
     return own, answers
 
 
@@ -274,7 +301,7 @@ def _words(state: DataFrame, parts: int) -> DataFrame:
                 c = np.bincount(word[learnt], minlength=len(keys)).astype("<u4")
                 part = _part(keys, parts)
                 edge = np.append(_first(part), len(part))
-                rows = [(int(part[x]), own["block"], None, None, keys[x:y].tobytes(), _packed(c[x:y]), None) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                rows = [(int(part[x]), own["block"], None, None, None, keys[x:y].tobytes(), _packed(c[x:y]), None) for x, y in zip(edge[:-1], edge[1:], strict=True)]
                 yield from _table(rows, _ASKED).to_batches()
 
     def summed(table: pa.Table) -> pa.Table:
@@ -285,26 +312,27 @@ def _words(state: DataFrame, parts: int) -> DataFrame:
         total = np.bincount(at, c, len(keys)).astype("<i8")
         name = np.empty(len(keys), "<i8")  # often used words get small numbers, each task every so manieth
         name[np.argsort(-total, kind="stable")] = np.arange(len(keys)) * parts + asked[0]["part"]
-        rows = [(None, 0, asked[0]["part"], None, None, int(total.sum()), int((total > 0).sum()))]
+        rows = [(None, 0, asked[0]["part"], None, None, None, int(total.sum()), int((total > 0).sum()))]
         x = 0
         for r in asked:
             y = x + len(r["word"]) // 8
-            rows.append((r["block"], 0, r["part"], _packed(name[at[x:y]]), _packed(total[at[x:y]]), None, None))
+            rows.append((r["block"], 0, r["part"], _packed(name[at[x:y]]), b"", _packed(total[at[x:y]]), None, None))
             x = y
         return _table(rows, _TOLD)
 
     return state.select("block", "held", "to", "keys", "word").mapInArrow(run, ASKED).repartition(parts, "part").groupBy("part").applyInArrow(summed, TOLD)
 
 
-def _tested(level: int, n: int, v: int, alpha: float, least: int, gain: float):
+def _tested(level: int, n: int, v: int, alpha: float, least: int, gain: float, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        """Answers: of each run of a context its count, 0 if it is not kept, and of each gram its count (of contexts that are not kept
-        only at level 1 if it may be a context itself)."""
+        """Answers: of each run of a context its count, 0 if it is not kept; of each gram its count (of contexts that are not kept
+        only at level 1 if it may be a context itself). Of a word that is a context of many tasks this one's share of the test (gains)."""
         X.give_back()
         asked = table.to_pylist()
         ctx, word = np.concatenate([np.frombuffer(x["ctx"], "<u8") for x in asked]), [_opened(x["word"], "<u8") for x in asked]
         runs, c = (np.concatenate([_opened(x[k], "<u4") for x in asked]).astype(np.int64) for k in ("runs", "c"))
         up = np.concatenate([_opened(x["up"], "<i8" if level == 1 else "<f8") for x in asked])
+        uses = np.concatenate([_opened(x["n"], "<i8") for x in asked])
         sizes = [(len(x["ctx"]) // 8, len(w), x["block"], x["part"]) for x, w in zip(asked, word, strict=True)]
         word = np.concatenate(word)
         del asked, table
@@ -315,21 +343,26 @@ def _tested(level: int, n: int, v: int, alpha: float, least: int, gain: float):
         first = _first(gram[order])
         del gram
         lead = order[first]
-        total = np.add.reduceat(c[order], first)
+        total = np.add.reduceat(c[order], first) if len(first) else c
         by, p = np.repeat(of, runs)[lead], up[lead]
         if level == 1:
             p = (p + FIRST) / (n + FIRST * (v + 1))
-        count = np.bincount(by, total, len(names)).astype(np.int64)
+            count = np.zeros(len(names), np.int64)
+            count[of] = uses
+            many = _tasks(count, n, parts) > 1
+        else:
+            count, many = np.bincount(by, total, len(names)).astype(np.int64), np.zeros(len(names), bool)
         with np.errstate(divide="ignore", invalid="ignore"):
             alone = np.where(total > 0, total * np.log((total - 1 + alpha * p) / (count[by] - 1 + alpha) / p), 0.0)
-        kept = (count >= least) & (np.bincount(by, alone, len(names)) > gain)
+        alone = np.bincount(by, alone, len(names))
+        kept = (count >= least) & (alone > gain) | many
         total[~(kept[by] | (total >= least) if level == 1 else kept[by])] = 0
         c[order] = np.repeat(total, np.diff(np.append(first, len(order))))
-        left = np.where(kept, count, 0)[of]
-        rows = [(None, level, sizes[0][3], None, None, int(count[kept].sum()), int(kept.sum()))]
+        left, alone, many = np.where(kept & ~many, count, 0)[of], alone[of], many[of]
+        rows = [(None, level, sizes[0][3], None, None, None, int(count[kept].sum()), int(kept.sum()))]
         x = y = 0
         for i, j, block, part in sizes:
-            rows.append((block, level, part, _packed(left[x : x + i].astype("<i8")), _packed(c[y : y + j].astype("<i8")), None, None))
+            rows.append((block, level, part, _packed(left[x : x + i].astype("<i8")), _packed(alone[x : x + i][many[x : x + i]]), _packed(c[y : y + j].astype("<i8")), None, None))
             x, y = x + i, y + j
         return _table(rows, _TOLD)
 
@@ -355,26 +388,26 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
 
     def known(light: bool) -> DataFrame:
         """Blocks and their answers, a block's together."""
-        rows = [state.drop(*HEAVY) if light else state, *[t.where("block is not null").select("block", "level", "part", "n", "c") for t in told]]
+        rows = [state.drop(*HEAVY) if light else state, *[t.where("block is not null").select("block", "level", "part", "n", "gains", "c") for t in told]]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-        return (rows if told else rows.withColumn("level", F.lit(None).cast("int")).withColumns({"part": F.lit(None).cast("int"), "n": F.lit(None).cast("binary"), "c": F.lit(None).cast("binary")})).repartition(parts, "block").groupBy("block")
+        return (rows if told else rows.withColumn("level", F.lit(None).cast("int")).withColumns({c: F.lit(None).cast("int" if c == "part" else "binary") for c in ("part", "n", "gains", "c")})).repartition(parts, "block").groupBy("block")
 
     def ask(table: pa.Table) -> pa.Table:
         X.give_back()
         own, answers = _read(table)
-        return _Block(own, answers, n, v, alpha, least, parts).ask(own["block"])
+        return _Block(own, answers, n, v, alpha, least, gain, parts).ask(own["block"])
 
     def settled(table: pa.Table) -> pa.Table:
         X.give_back()
         own, answers = _read(table)
-        mine = _Block(own, answers, n, v, alpha, least, parts)
+        mine = _Block(own, answers, n, v, alpha, least, gain, parts)
         ids = table.filter(pc.is_null(table.column("level"))).column("ids")
         values = {"block": own["block"], "ids": ids, "held": own["held"], "to": own["to"], "keys": _packed(mine.named), "word": own["word"], "at": _packed(mine.at.astype("<i8")), "p": _packed(mine.p), "known": mine.known.astype("<f8").tobytes(), "base": mine.base.tobytes(), "score": mine.score.tobytes(), "depth": mine.level - 1}
         return pa.table({c: x if c == "ids" else pa.array([x], pa.int64() if c == "block" else pa.int32() if c == "depth" else pa.binary()) for c, x in values.items()})
 
     level = 1
     while n and (depth is None or level <= depth):
-        found = known(True).applyInArrow(ask, ASKED).repartition(parts, "part").groupBy("part").applyInArrow(_tested(level, n, v, alpha, least, gain), TOLD)
+        found = known(True).applyInArrow(ask, ASKED).repartition(parts, "part").groupBy("part").applyInArrow(_tested(level, n, v, alpha, least, gain, parts), TOLD)
         found = materialize(found, f"level{level}")
         if not found.agg(F.sum("kept")).first()[0]:
             release(found)
@@ -392,7 +425,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, text: str = "text", do
     def scored(table: pa.Table) -> pa.Table:
         X.give_back()
         own, answers = _read(table)
-        mine = _Block(own, answers, n, v, alpha, least, parts)
+        mine = _Block(own, answers, n, v, alpha, least, gain, parts)
         mine._settle(np.zeros(len(mine.at), bool))
         ids = table.filter(pc.is_null(table.column("level"))).column("ids").combine_chunks().flatten()
         values = [ids.cast(arrow.field(0).type), pa.array(mine.held > 0), pa.array(np.diff(mine.to)), pa.array(mine.known.astype(np.int64)), pa.array(np.full(len(ids), n)), pa.array(mine.base), pa.array(mine.score)]

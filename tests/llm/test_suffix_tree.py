@@ -145,3 +145,27 @@ def test_texts_are_read_once_and_little_is_written(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).mapInArrow(counted, "doc_id long, text string")
     assert suffix_tree_scores(df, remainder("doc_id", 10) == 0, depth=None).count() == len(rows)
     assert read.value == len(rows) and max(written) < size
+
+
+def test_grams_behind_a_very_frequent_word_go_to_many_tasks(spark, monkeypatch, tmp_path):
+    from scholium.llm import suffix_tree
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(x for _ in range(60) for x in ("of", f"w{int(900 * rng.random() ** 2)}"))) for i in range(240)]
+    want, kept = brute(rows)
+    assert kept > 20
+
+    def tested(level, *more, f=suffix_tree._tested):
+        run = f(level, *more)
+
+        def noted(table):
+            (tmp_path / f"{level}-{table.column('part')[0]}").write_text(str(sum(len(suffix_tree._opened(x, "<u4")) for x in table.column("c").to_pylist())))
+            return run(table)
+
+        return noted
+
+    monkeypatch.setattr(suffix_tree, "_tested", tested)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    same(sorted((str(r[0]), *r[1:]) for r in suffix_tree_scores(df, remainder("doc_id", 10) == 0).collect()), want)
+    sizes = [int(p.read_text()) for p in tmp_path.glob("1-*")]
+    assert max(sizes) < 0.25 * sum(sizes)
